@@ -18,7 +18,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -173,17 +173,16 @@ SCHEMA = "source int, uom string, qty double, residual double, is_unique boolean
 
 
 def _solver(factors: dict[str, tuple[str, float]]):
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for columns in batches:
-            rows = []
-            for texts in zip(*columns, strict=True):
-                hit = (None, None, None, None, None)
-                for k, text in enumerate(texts):
-                    if text and (got := solve(readings(fold_letters(_VULGAR.sub(" ", text))), factors)):
-                        hit = (k, *got)
-                        break
-                rows.append(hit)
-            yield pd.DataFrame(rows, columns=["source", "uom", "qty", "residual", "is_unique"]).astype({"source": "Int32"})
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        rows = []
+        for texts in zip(*columns, strict=True):
+            hit = (None, None, None, None, None)
+            for k, text in enumerate(texts):
+                if text and (got := solve(readings(fold_letters(_VULGAR.sub(" ", text))), factors)):
+                    hit = (k, *got)
+                    break
+            rows.append(hit)
+        return pd.DataFrame(rows, columns=["source", "uom", "qty", "residual", "is_unique"]).astype({"source": "Int32"})
 
     return run
 
