@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samewise.llm import brands, components, distinct_terms, normal_form
+from samewise.llm import brands, components, distinct_terms, mixing, normal_form, tokens
 from samewise.session import table
 
 
@@ -30,8 +30,20 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_terms.p4_scores(table(spark, sf_dir, "listings"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.p7_ids(table(spark, sf_dir, "documents"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(mixing.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(mixing.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_scores": p4_scores}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_scores": p4_scores, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
