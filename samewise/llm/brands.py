@@ -30,8 +30,8 @@ from samewise.llm.normal_form import reading_form
 DECORATIONS_HAN = "官方旗艦店 官方旗舰店 旗艦店 旗舰店 專門店 专门店 專賣店 专卖店 官方店 官方 正品 品牌 授權 授权 代理"
 DECORATIONS_LATIN = "official co ltd limited inc hk by brand store shop the tm r"
 # Simplified characters of product names and the traditional ones (a parameter of the functions below).
-SIMPLIFIED = "兰丽丝玛凯达岚伦萝诺维宝莲乐尔欧诗贝韩国台湾泽龙凤东风云长礼优净凉单发叶园妇宁层岛库开张悦无时机杨枫树桥欢气洁涛润湿灯炉烛烟热猫现画盐纱织经绿缎肤芦萤试货购轩进选钟雾静韵饼鸥鹤鹿麦径温柠纸适榄荟体阁桦鲸苇霁鹭涧网个蝉涟鲤鸢笺箫砚红峦两约"
-TRADITIONAL = "蘭麗絲瑪凱達嵐倫蘿諾維寶蓮樂爾歐詩貝韓國台灣澤龍鳳東風雲長禮優淨涼單發葉園婦寧層島庫開張悅無時機楊楓樹橋歡氣潔濤潤濕燈爐燭煙熱貓現畫鹽紗織經綠緞膚蘆螢試貨購軒進選鐘霧靜韻餅鷗鶴鹿麥徑溫檸紙適欖薈體閣樺鯨葦霽鷺澗網個蟬漣鯉鳶箋簫硯紅巒兩約"
+SIMPLIFIED = "兰丽丝玛凯达岚伦萝诺维宝莲乐尔欧诗贝韩国台湾泽龙凤东风云长礼优净凉单发叶园妇宁层岛库开张悦无时机杨枫树桥欢气洁涛润湿灯炉烛烟热猫现画盐纱织经绿缎肤芦萤试货购轩进选钟雾静韵饼鸥鹤鹿麦径温柠纸适榄荟体阁桦鲸苇霁鹭涧网个蝉涟鲤鸢笺箫砚红峦两约绒称资规产验种为寿"
+TRADITIONAL = "蘭麗絲瑪凱達嵐倫蘿諾維寶蓮樂爾歐詩貝韓國台灣澤龍鳳東風雲長禮優淨涼單發葉園婦寧層島庫開張悅無時機楊楓樹橋歡氣潔濤潤濕燈爐燭煙熱貓現畫鹽紗織經綠緞膚蘆螢試貨購軒進選鐘霧靜韻餅鷗鶴鹿麥徑溫檸紙適欖薈體閣樺鯨葦霽鷺澗網個蟬漣鯉鳶箋簫硯紅巒兩約絨稱資規產驗種為壽"
 
 _UNSIMPLIFY = str.maketrans(dict(zip(SIMPLIFIED, TRADITIONAL, strict=True)))
 

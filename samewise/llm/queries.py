@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samewise.llm import brands, components, distinct_terms, mixing, normal_form, sentences, tokens
+from samewise.llm import brands, components, distinct_terms, mixing, normal_form, same_product, sentences, tokens
 from samewise.session import table
 
 
@@ -30,6 +30,10 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_terms.p4_scores(table(spark, sf_dir, "listings"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_product.p5_found(table(spark, sf_dir, "listings"), table(spark, sf_dir, "brand_ref"), table(spark, sf_dir, "unit_ref"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.p7_ids(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_scores": p4_scores, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
