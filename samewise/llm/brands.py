@@ -92,7 +92,8 @@ def correct_tokens(tokens: DataFrame, vocabulary: DataFrame, stock: DataFrame |
     same = t.join(v.withColumn("token", F.col("word")), ["kind", "token"]).select("kind", "token", "word", F.lit(1.0).alias("sim"))
     rest = t.join(v.withColumn("token", F.col("word")), ["kind", "token"], "left_anti").filter((F.length("token") >= F.when(F.col("kind") == "h", 2).otherwise(least)) & (F.length("token") <= 64))
     a, b = _neighbourhood(rest, "token", "t"), _neighbourhood(v.filter(F.length("word") >= F.when(F.col("kind") == "h", 3).otherwise(least)), "word", "w")
-    near = a.join(b, ["kind", "form"]).filter((F.levenshtein("token", "word") <= 1) | ((F.length("token") == F.length("word")) & (F.abs(F.col("t_at") - F.col("w_at")) == 1)))
+    swapped = (F.length("token") == F.length("word")) & (F.abs(F.col("t_at") - F.col("w_at")) == 1) & (F.substring("token", F.col("t_at"), F.lit(1)) == F.substring("word", F.col("w_at"), F.lit(1)))
+    near = a.join(b, ["kind", "form"]).filter((F.levenshtein("token", "word") <= 1) | ((F.col("kind") != "h") & swapped))
     if stock is not None:
         # ideographs: only a substitution, by one that no name of the list has
         known = F.broadcast(stock)  # one row
