@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +27,7 @@ def get_spark(app: str = "samewise", cpus: str | int = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's spark.checkpoint.dir, and only where that is unset a temporary one.
+    """The folder for cut lineages: the session's spark.checkpoint.dir, and only where that is unset a temporary one.
 
     A machine-local folder is only ever chosen for a local master; elsewhere an unset folder is an error.
     """
@@ -33,26 +36,46 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"samewise-checkpoints-{os.getuid()}")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+    """Cut the lineage: write df as a table in the shared folder and read it again.
 
-    A checkpoint inherits the constraints of its plan, and in a loop they multiply from round to round until the
-    driver's heap is full; so none are derived while it is made.
+    Unlike a checkpoint, which inherits its plan's statistics (a join's size is the product of its sides', and in a loop that
+    number grows until it fills the driver), a table has its true size. ``forget`` removes one that is no longer read;
+    what is left goes with the application.
     """
     spark = df.sparkSession
-    shared_dir(spark)
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
+    folder = f"{shared_dir(spark)}/samewise-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._samewise_table = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables made by ``cut`` whose readers have all run."""
+    for t in tables:
+        if path := getattr(t, "_samewise_table", None):
+            _remove(t.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
     try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may be gone at exit
+        if not path.startswith("file:") and "://" in path:
+            return
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+_FOLDERS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
