@@ -9,7 +9,8 @@ Minimum labels are propagated across edges and accelerated with pointer jumping:
   what is left, until no label changes.
 
 Records are numbered once in key order, so all rounds shuffle longs and the least number is the
-least key. Each round is checkpointed in the shared folder; nothing but counts reaches the driver.
+least key. Each round is written to the shared folder
+(a checkpoint that keeps true sizes); nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,24 +18,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.session import cut
+from samewise.session import cut, forget
 
 
 def _numbered(edges: DataFrame) -> DataFrame:
-    """(key, id): ids increase with the keys. Range partitions keep the order across partitions, the checkpoint keeps it across retries."""
+    """(key, id): ids increase with the keys. Range partitions keep the order across partitions, the written table keeps it across retries."""
     keys = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     return cut(keys.repartitionByRange("key").sortWithinPartitions("key").withColumn("id", F.monotonically_increasing_id()))
 
 
 def _rest(parents: DataFrame, max_jumps: int = 64) -> DataFrame:
-    """Pointer jumping: (id, parent) with every parent replaced by its root."""
+    """Pointer jumping: (id, parent) with every parent replaced by its root. A written round holds two jumps."""
     for _ in range(max_jumps):
-        up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
-        jumped = cut(parents.join(up, "parent", "left").select("id", F.coalesce("above", "parent").alias("to"), (F.coalesce("above", "parent") != F.col("parent")).alias("moved")))
-        parents = jumped.select("id", F.col("to").alias("parent"))
-        if jumped.filter("moved").isEmpty():
-            break
-    return parents
+        two = parents
+        for _ in range(2):
+            up = two.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
+            two = two.join(up, "parent", "left").select("id", F.coalesce("above", "parent").alias("parent"))
+        before = parents.select("id", F.col("parent").alias("was"))
+        jumped = cut(two.join(before, "id").select("id", "parent", (F.col("parent") != F.col("was")).alias("moved")))
+        forget(parents)
+        still = jumped.filter("moved").isEmpty()
+        parents = jumped.drop("moved")
+        parents._samewise_table = jumped._samewise_table
+        if still:
+            return parents
+    raise RuntimeError("pointers still move")
 
 
 def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
@@ -47,16 +55,18 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     ids = _numbered(edges)
     left, right = ids.select(F.col("key").alias("a"), F.col("id").alias("u")), ids.select(F.col("key").alias("b"), F.col("id").alias("v"))
     links = cut(edges.join(left, "a").join(right, "b").select("u", "v"))
-    labels = ids.select("id", F.col("id").alias("label"))
+    forget(edges)
+    labels = cut(ids.select("id", F.col("id").alias("label")))
     for _ in range(max_rounds):
         if links.isEmpty():
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parents = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least")).select("id", F.least("id", "least").alias("parent")))
-        roots = _rest(parents)
-        labels = cut(labels.join(roots.select(F.col("id").alias("label"), "parent"), "label", "left").select("id", F.coalesce("parent", "label").alias("label")))
+        roots = _rest(cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least")).select("id", F.least("id", "least").alias("parent"))))
+        relabelled = cut(labels.join(roots.select(F.col("id").alias("label"), "parent"), "label", "left").select("id", F.coalesce("parent", "label").alias("label")))
         ru, rv = roots.select(F.col("id").alias("u"), F.col("parent").alias("ru")), roots.select(F.col("id").alias("v"), F.col("parent").alias("rv"))
-        links = cut(links.join(ru, "u").join(rv, "v").filter("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        left_over = cut(links.join(ru, "u").join(rv, "v").filter("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        forget(links, labels, roots)
+        links, labels = left_over, relabelled
     else:
         raise RuntimeError("labels still change")
     names = ids.select(F.col("id").alias("label"), F.col("key").alias("component_id"))
