@@ -34,6 +34,12 @@ SIMPLIFIED = "兰丽丝玛凯达岚伦萝诺维宝莲乐尔欧诗贝韩国台湾
 TRADITIONAL = "蘭麗絲瑪凱達嵐倫蘿諾維寶蓮樂爾歐詩貝韓國台灣澤龍鳳東風雲長禮優淨涼單發葉園婦寧層島庫開張悅無時機楊楓樹橋歡氣潔濤潤濕燈爐燭煙熱貓現畫鹽紗織經綠緞膚蘆螢試貨購軒進選鐘霧靜韻餅鷗鶴鹿麥徑溫檸紙適欖薈體閣樺鯨葦霽鷺澗網個蟬漣鯉鳶箋簫硯紅巒兩約絨稱資規產驗種為壽"
 
 _UNSIMPLIFY = str.maketrans(dict(zip(SIMPLIFIED, TRADITIONAL, strict=True)))
+_SIMPLE = re.compile(f"[{SIMPLIFIED}]")
+
+
+def traditional(text: str) -> str:
+    """The text with the table's simplified characters as traditional ones; texts without any, most of them, are not rebuilt."""
+    return text.translate(_UNSIMPLIFY) if _SIMPLE.search(text) else text
 
 
 def tokens_of(raw: str | None, places: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
@@ -42,7 +48,7 @@ def tokens_of(raw: str | None, places: frozenset[str] = frozenset()) -> list[tup
     Decorations are taken off, unless nothing else is left.
     """
     text = (reading_form(_MARKS.sub(" ", raw or "")) or "").casefold()
-    text = unicodedata.normalize("NFC", text).translate(_UNSIMPLIFY)
+    text = traditional(unicodedata.normalize("NFC", text))
     out: list[tuple[str, str]] = []
     runs = [(m[0], text[m.end() : m.end() + 1] == ".") for m in _LATIN.finditer(text)]
     plain = [t for t, dotted in runs if t not in _SHOP_LATIN and not (dotted and len(t) <= 3)] or [t for t, _ in runs]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.functions.unicode_forms import fold_letters
-from samewise.llm.brands import _UNSIMPLIFY, tokens_of
+from samewise.llm.brands import tokens_of, traditional
 from samewise.llm.normal_form import reading_form
 from samewise.operators.quantities import readings, solve, unit_factors
 from samewise.session import cut
@@ -58,17 +58,23 @@ _HAN = "㐀-䶿一-鿿"
 
 def _lexicon(text: str) -> dict[str, str]:
     groups = [g.split() for line in text.strip().splitlines() for g in line.split("|")]
-    return {w.replace("_", " ").translate(_UNSIMPLIFY): g[0] for g in groups for w in g}
+    return {traditional(w.replace("_", " ")): g[0] for g in groups for w in g}
 
 
 def _longest(words) -> str:
-    return "|".join(re.escape(w) if not w.isascii() else rf"(?<![a-z]){re.escape(w)}(?![a-z])" for w in sorted(words, key=lambda w: (-len(w), w)))
+    """Pattern of the words, longest first. A look at the first character rules out most places before any word is tried."""
+    ordered = sorted(words, key=lambda w: (-len(w), w))
+    kinds = []
+    for some, guard, after in (([w for w in ordered if w.isascii()], "(?<![a-z])", "(?![a-z])"), ([w for w in ordered if not w.isascii()], "", "")):
+        if some:
+            first = "".join(sorted({re.escape(w[0]) for w in some}))
+            kinds.append(f"(?=[{first}]){guard}(?:{'|'.join(map(re.escape, some))}){after}")
+    return "|".join(kinds)
 
 
 _SCENT, _KIND = _lexicon(SCENTS), _lexicon(KINDS)
-_KIND_ORDER = {k: i for i, k in enumerate(dict.fromkeys(_KIND.values()))}
-_SCENT_RE, _KIND_RE = re.compile(_longest(_SCENT)), re.compile(f"(?=({_longest(_KIND)}))")
-_KIND_MASK, _NOISE_RE = re.compile(_longest(_KIND)), re.compile(_longest(NOISE.translate(_UNSIMPLIFY).split()))
+_SCENT_RE, _KIND_MASK, _NOISE_RE = re.compile(_longest(_SCENT)), re.compile(_longest(_KIND)), re.compile(_longest(traditional(NOISE).split()))
+_KIND_WORDS = [(w, k, re.compile(rf"(?<![a-z]){re.escape(w)}(?![a-z])") if w.isascii() else None) for w, k in _KIND.items()]
 _LINE_RE = re.compile(rf"(?<![{_HAN}])([{_HAN}]{{2,5}})(?:系列|之選)|([{_HAN}]{{3}})(?:系列|之選)")
 _RUN_RE, _LATIN_RE = re.compile(f"[{_HAN}]+"), re.compile(r"(?<![a-z0-9])[a-zà-öø-ÿ]{6,}(?![a-z0-9])")
 _CODE_RE = re.compile(r"(?<![a-z0-9])(k\d[a-z0-9]{3,}(?:-\d+)?)(?![a-z0-9])")
@@ -78,20 +84,21 @@ _KEPT_RE = re.compile(r"延長([^。]*?)壽命|延长([^。]*?)寿命|注意:([^
 
 
 def _folded(text: str | None) -> str:
-    return (reading_form(text) or "").casefold().translate(_UNSIMPLIFY)
+    return traditional((reading_form(text) or "").casefold())
 
 
 def _kind_of(text: str) -> str | None:
-    hits = {_KIND[m[1]] for m in _KIND_RE.finditer(text) if m[1]}
-    return min(hits, key=_KIND_ORDER.__getitem__) if hits else None
+    """The most special kind of which a word stands in the text, whatever other words it overlaps (手工皂紙 is paper)."""
+    return next((k for w, k, alone in _KIND_WORDS if w in text and (alone is None or alone.search(text))), None)
 
 
 def read_title(title, brand, pack, description, factors, names=frozenset(), places=None) -> tuple:
     """(line, words, names, scent, kind, uom, qty, line of the description, code, position) of a listing."""
-    t = _folded(title)
+    form = reading_form(title) or ""
+    t = traditional(form.casefold())
     code = (m[1].replace("-", "") if (m := _CODE_RE.search(t)) else None)
     hit = _SCENT_RE.search(t)
-    rest = _SCENT_RE.sub("/", t)
+    rest = _SCENT_RE.sub("/", t) if hit else t
     scent = _SCENT[hit[0]] if hit else None
     kind = _kind_of(rest)
     rest = _NOISE_RE.sub("/", _KIND_MASK.sub("/", rest))
@@ -102,10 +109,7 @@ def read_title(title, brand, pack, description, factors, names=frozenset(), plac
         line, at = (m[1] or m[2])[-3:], m.start()
     words = [] if line else [r[i : i + 3] for r in _RUN_RE.findall(rest) if 3 <= len(r) <= 9 for i in range(len(r) - 2)]
     latin = [w for w in _LATIN_RE.findall(rest) if w not in names]
-    got = None
-    for text in (title, pack):
-        if text and (got := solve(readings(fold_letters(text)), factors)):
-            break
+    got = solve(readings(form), factors) or (solve(readings(fold_letters(pack)), factors) if pack else None)
     told = None
     if description and not (line and scent and kind and got):
         d = _folded(description)
