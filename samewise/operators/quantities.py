@@ -55,6 +55,7 @@ _HAN = "零〇一二三四五六七八九十百千萬万两兩"
 _NUMBER = rf"(?:\d+ )?\d{{1,2}}[/⁄]\d{{1,2}}(?!\d)|\d+(?:[.,]\d+)*|半|[{_HAN}]+"
 _READING = re.compile(rf"(?<![a-z0-9.,])({_NUMBER}) ?({_UNIT})(?:\.(?!\d))?(?![a-wyz]|x[a-z])(?:/(?=\d))?", re.I)
 _GIFT = re.compile(r"[(【\[]?(?:加?[送贈赠附]|gift|free gift)[^)】\]/|,，;；]{0,12}?(?:體驗裝|体验装|旅行裝|旅行装|試用裝|试用装|sample|travel)(?: ?\d+(?:[.,]\d+)? ?[a-z]+)?[)】\]]?|(?:送|贈|赠)(?:試用|试用)[^ ]* ?\d* ?[a-z]*", re.I)
+_GIVEN = re.compile("[送贈赠附]|gift", re.I)
 _TOTAL_BEFORE = re.compile(r"(?:共|合共|合計|合计|總共|总共|總重|总重|total(?: of)?|=) ?$", re.I)
 _EACH_BEFORE = re.compile(r"(?:每[件個个塊块支瓶包]|each|各) ?$", re.I)
 _TOLERANCE_BEFORE = re.compile(r"(?:±|\+/-|誤差|误差) ?$")
@@ -110,7 +111,8 @@ def readings(text: str) -> list[dict]:
     """The amounts in a folded text, without gifts, samples, tolerances and shares."""
     if not text or not _QUICK.search(text):
         return []
-    text = _GIFT.sub(" ", text)
+    if _GIVEN.search(text):
+        text = _GIFT.sub(" ", text)
     out = []
     for m in _READING.finditer(text):
         before, after = text[: m.start()], text[m.end() :]
