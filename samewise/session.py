@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def get_spark(app: str = "samewise", cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; on a cluster the submitter's session is used as it is."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -24,6 +24,15 @@ def get_spark(app: str = "samewise", cpus: str | int = "*", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )
+    importable(spark)
+    return spark
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, wherever they start."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,4 +88,5 @@ _FOLDERS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
