@@ -1,22 +1,581 @@
-"""The core's registered queries and their SQL."""
+"""The core's registered queries over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from samewise.config import DEFAULT_PACK
+from samewise.functions import extract as X
+from samewise.functions import text as T
+from samewise.operators import attributes as A
+from samewise.operators import candidates as C
+from samewise.operators import cluster as K
+from samewise.operators import evaluate as E
+from samewise.operators import features as FE
+from samewise.operators import identity as I
+from samewise.operators import images as IM
+from samewise.operators import labels as L
+from samewise.operators import mining as M
+from samewise.operators import model as B
+from samewise.operators import naming as N
 from samewise.operators import quantities
-from samewise.session import table
+from samewise.operators import vectors as V
+from samewise.session import cut, table
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantities.p6_found(table(spark, sf_dir, "listings"), table(spark, sf_dir, "sku_groups"), table(spark, sf_dir, "unit_ref"))
+# Text pieces that both engines share.
+FOLD = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_%]+', '', 'g')"
+FIRST = "(select * from listings where sku_id is not null qualify row_number() over (partition by sku_id order by row_ord) = 1)"
+GRAMS = "list_sort(list_distinct([substring({0}, i, 2) for i in range(1, length({0}))]))"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found}
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _listings(spark: SparkSession, d: str) -> DataFrame:
+    return A.latest(table(spark, d, "listings"))
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """Listings with keys made of their own columns: brand, title key, merchant, main place."""
+    return _listings(spark, d).select("sku_id", "row_ord", "category_code", "sku_name_chi", "brand_name_chi", "origin_chi", F.lower(F.trim("brand_name_chi")).alias("brand"), F.nullif(T.fold("sku_name_chi"), F.lit("")).alias("title_key"), F.substring("sku_id", 1, 5).alias("merchant"))
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    """label_pairs, repeated rows once."""
+    return table(spark, d, "label_pairs").select("sku_a", "sku_b", "label").distinct()
+
+
+def _best_scores(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each unordered pair of candidate_pairs with its best score (null where all are vetoed)."""
+    return table(spark, d, "candidate_pairs").filter("sku_a is not null and sku_b is not null and sku_a <> sku_b").groupBy(F.least("sku_a", "sku_b").alias("sku_a"), F.greatest("sku_a", "sku_b").alias("sku_b")).agg(F.max("score").alias("score"), F.max("embedding_cosine").alias("cosine"))
+
+
+BEST = "(select least(sku_a, sku_b) sku_a, greatest(sku_a, sku_b) sku_b, max(score) score, max(embedding_cosine) cosine from candidate_pairs where sku_a is not null and sku_b is not null and sku_a <> sku_b group by 1, 2)"
+LABELS = "(select distinct sku_a, sku_b, label from label_pairs)"
+
+
+@query()
+def p6_found(spark, d):
+    return quantities.p6_found(table(spark, d, "listings"), table(spark, d, "sku_groups"), table(spark, d, "unit_ref"))
+
+
+# -- text
+
+
+@query(f"select doc_id, {FOLD.format("coalesce(text, '')")} as folded from documents")
+def q_fold_normalise(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.fold("text").alias("folded"))
+
+
+@query(f"with f as (select doc_id, {FOLD.format('text')} k from documents where text is not null) select min(doc_id) as root, count(*) as members from f where k <> '' group by k having count(*) > 1")
+def q_exact_dup_groups(spark, d):
+    keyed = table(spark, d, "documents").select("doc_id", F.nullif(T.fold("text"), F.lit("")).alias("k")).filter("k is not null")
+    return keyed.groupBy("k").agg(F.min("doc_id").alias("root"), F.count("*").alias("members")).filter("members > 1").select("root", "members")
+
+
+@query(f"with t as (select sku_id, {FOLD.format('sku_name_chi')} f from {FIRST} where sku_name_chi is not null) select sku_id, len({GRAMS.format('f')}) as grams, coalesce({GRAMS.format('f')}[1], '') as least_gram from t")
+def q_char_ngrams(spark, d):
+    return _listings(spark, d).filter("sku_name_chi is not null").select("sku_id", T.char_ngrams("sku_name_chi").alias("g")).select("sku_id", F.size("g").cast("bigint").alias("grams"), F.coalesce(F.try_element_at("g", F.lit(1)), F.lit("")).alias("least_gram"))
+
+
+@query("select sku_id, right(trim(list_extract(string_split_regex(coalesce(sku_name_chi, ''), '[-–—|｜:：]'), -1), ' '), 12) as tail from " + FIRST)
+def q_tail_text(spark, d):
+    return _listings(spark, d).select("sku_id", T.tail_text("sku_name_chi").alias("tail"))
+
+
+@query(
+    f"""with k as (select sku_id, {FOLD.format("coalesce(sku_name_chi, '')")} f from {FIRST}),
+    p as (select b.sku_a, b.sku_b, x.f fa, y.f fb from {BEST} b join k x on x.sku_id = b.sku_a join k y on y.sku_id = b.sku_b)
+    select sku_a, sku_b, round(case when fa = '' or fb = '' then 0 else len(list_filter(range(1, least(length(fa), length(fb)) + 1), lambda i: starts_with(fb, substring(fa, 1, i)))) / greatest(length(fa), length(fb))::double end, 6) as lcp,
+    round(case when greatest(length(fa), length(fb)) = 0 then 0 else least(length(fa), length(fb)) / greatest(length(fa), length(fb))::double end, 6) as len_ratio from p"""
+)
+def q_lcp_ratio(spark, d):
+    k = _listings(spark, d).select("sku_id", T.fold("sku_name_chi").alias("f"))
+    p = _best_scores(spark, d).select("sku_a", "sku_b").join(k.withColumnsRenamed({"sku_id": "sku_a", "f": "fa"}), "sku_a").join(k.withColumnsRenamed({"sku_id": "sku_b", "f": "fb"}), "sku_b")
+    longest = F.greatest(F.length("fa"), F.length("fb"))
+    return p.select("sku_a", "sku_b", F.round(T.lcp_ratio("fa", "fb"), 6).alias("lcp"), F.round(F.when(longest == 0, 0.0).otherwise(F.least(F.length("fa"), F.length("fb")) / longest), 6).alias("len_ratio"))
+
+
+@query()
+def q_clean_titles(spark, d):
+    return _listings(spark, d).select("sku_id", T.nfkc("sku_name_chi").alias("t")).select("sku_id", T.clean_title("t").alias("clean"), T.packfree("t").alias("packfree"), T.display_width("t").alias("width"))
+
+
+# -- attributes
+
+WEIGHTED = " + ".join(f"substring(c, {i}, 1)::int * {3 if i % 2 == 0 else 1}" for i in range(1, 14))
+
+
+@query(
+    f"""with c as (select distinct sku_id, c from (select sku_id, unnest(regexp_extract_all(coalesce(sku_name_chi, ''), '[0-9]+') || string_split(sku_id, '_')) c from {FIRST}) where regexp_full_match(c, '[0-9]{{13}}'))
+    select sku_id, c as ean from c where ({WEIGHTED}) % 10 = 0"""
+)
+def q_ean_codes(spark, d):
+    return _listings(spark, d).select("sku_id", F.explode(X.eans("sku_id", "sku_name_chi")).alias("ean"))
+
+
+@query("select c_custkey, ({}) % 10 = 0 as valid from (select c_custkey, lpad(c_custkey::varchar, 13, '0') c from customer)".format(WEIGHTED))
+def q_ean13_check(spark, d):
+    return table(spark, d, "customer").select("c_custkey", X.ean13_valid(F.lpad(F.col("c_custkey").cast("string"), 13, "0")).alias("valid"))
+
+
+@query(f"select sku_id, list_sort(list_distinct(list_filter(list_transform(string_split_regex(coalesce(origin_chi, ''), '[/、,，]'), lambda p: trim(p)), lambda p: p <> ''))) as origin from {FIRST}")
+def q_origins(spark, d):
+    plain = F.filter(F.transform(F.split(F.coalesce("origin_chi", F.lit("")), "[/、,，]"), lambda p: F.trim(p)), lambda p: p != "")
+    return _listings(spark, d).select("sku_id", F.array_sort(F.array_distinct(plain)).alias("origin"))
+
+
+_FORM_CASE = "case " + " ".join(f"when regexp_matches(t, '{p}', 'i') then '{n}'" for n, p in DEFAULT_PACK.forms) + " else 'UNKNOWN' end"
+
+
+@query(f"select {_FORM_CASE} as form, count(*) as listings from (select coalesce(sku_name_chi, '') t from {FIRST}) group by 1")
+def q_form_distribution(spark, d):
+    return E.rule_distribution(_listings(spark, d).withColumn("t", F.coalesce("sku_name_chi", F.lit(""))), "t", DEFAULT_PACK.forms).filter("first > 0 and rule <> 'SEVERAL'").select(F.col("rule").alias("form"), F.col("first").alias("listings"))
+
+
+@query("select p_partkey, (p_size::double)::double as value, 'g' as uom from part")
+def q_extract_unit(spark, d):
+    u = table(spark, d, "part").select("p_partkey", X.unit_of(F.concat(F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit("g"))).alias("u"))
+    return u.select("p_partkey", F.col("u.value").alias("value"), F.col("u.uom").alias("uom"))
+
+
+@query()
+def q_attributes(spark, d):
+    return A.build_attributes(table(spark, d, "listings"))
+
+
+@query(
+    f"""with v as (select merchant, origin_chi, count(*) votes, min(row_ord) f from (select substring(sku_id, 1, 5) merchant, * from {FIRST}) where origin_chi is not null group by 1, 2)
+    select merchant, origin_chi, votes from v qualify row_number() over (partition by merchant order by votes desc, f, origin_chi) = 1"""
+)
+def q_majority_value(spark, d):
+    return A.majority(_rows(spark, d), "merchant", "origin_chi", "row_ord")
+
+
+@query("select user_id, arg_min(event_type, event_id) as event_type from events group by user_id")
+def q_first_wins(spark, d):
+    return A.first_wins(table(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query("select 'missing' as fault, 0::bigint as n where false")
+def q_processed_faults(spark, d):
+    listings = table(spark, d, "listings")
+    done = _listings(spark, d).select("sku_id", F.coalesce("sku_name_chi", F.lit("")).alias("clean_title"), F.lit("UNKNOWN").alias("product_form"), F.lit(1).alias("pack_count"))
+    return A.processed_faults(listings, done)
+
+
+# -- frequencies and mining
+
+WORDS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))"
+
+
+def _words(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.col("source").alias("grp"), F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{3,})"), F.lit(1))).alias("terms"))
+
+
+_DF = f"(select term, count(*) df from (select unnest({WORDS}) term from documents) group by term)"
+
+
+@query(f"select term, df from {_DF}")
+def q_token_df(spark, d):
+    return M.document_frequency(_words(spark, d))
+
+
+@query(f"select term, round(ln(((select count(*) from documents) + 1) / (df + 1)) + 1, 6) as idf from {_DF}")
+def q_idf(spark, d):
+    words = _words(spark, d)
+    n = words.agg(F.count("*").alias("n"))
+    return M.document_frequency(words).crossJoin(F.broadcast(n)).transform(lambda x: M.idf(x, F.col("n"))).select("term", F.round("idf", 6).alias("idf"))
+
+
+_VOCAB = f"""(with w as (select doc_id, source grp, unnest({WORDS}) term from documents), s as (select source grp, count(*) size from documents group by 1 having count(*) >= 3),
+    g as (select term, count(*) splits from (select w.grp, w.term, count(*) df, any_value(size) size from w join s on w.grp = s.grp group by 1, 2) where df >= 2 and df < size group by term)
+    select d.term, d.df from {_DF} d join g on g.term = d.term where d.df <= 0.1 * (select count(*) from documents))"""
+_KEPT = f"(with v as {_VOCAB} select v.term, v.df from v where not exists (select 1 from v l where l.df = v.df and l.term <> v.term and contains(l.term, v.term)))"
+
+
+@query(f"select term, df from {_KEPT}")
+def q_vocabulary(spark, d):
+    return M.vocabulary(_words(spark, d))
+
+
+@query(f"with v as {_KEPT}, h as (select doc_id, unnest({WORDS}) term from documents), k as (select doc_id, list(h.term) l from h join v on v.term = h.term group by 1) select doc_id, list_sort(list_filter(l, lambda x: len(list_filter(l, lambda y: y <> x and contains(y, x))) = 0)) as signature from k")
+def q_signatures(spark, d):
+    words = cut(_words(spark, d).select(F.col("doc_id").cast("string").alias("sku_id"), "grp", F.lit("").alias("title"), "terms"))
+    return M.signatures(words, M.vocabulary(words)).filter(F.size("signature") > 0).select(F.col("sku_id").cast("bigint").alias("doc_id"), "signature")
+
+
+def _mined(spark, d):
+    attrs = cut(A.build_attributes(table(spark, d, "listings")))
+    terms = cut(M.term_lists(attrs))
+    vocab = cut(M.vocabulary(terms))
+    return attrs, terms, vocab, cut(M.signatures(terms, vocab))
+
+
+@query()
+def q_variant_vetoes(spark, d):
+    attrs, terms, vocab, sigs = _mined(spark, d)
+    return M.veto_pairs(M.alternative_pairs(terms, vocab), M.minimal_pairs(sigs), M.contradicted_pairs(sigs, L.positives(attrs)))
+
+
+# -- candidates
+
+BLOCKED = f"(select sku_id, lower(trim(brand_name_chi)) brand, nullif({FOLD.format('sku_name_chi')}, '') title_key, substring(sku_id, 1, 5) merchant, category_code from {FIRST})"
+
+
+def _keyed(spark, d) -> DataFrame:
+    r = _rows(spark, d)
+    return r.withColumns({"form": F.lit("UNKNOWN"), "unit_value": F.lit(None).cast("double"), "unit_uom": F.lit(None).cast("string"), "origin": F.array().cast("array<string>")})
+
+
+@query(f"with k as {BLOCKED} select a.sku_id as sku_a, b.sku_id as sku_b from k a join k b on a.title_key = b.title_key and a.sku_id < b.sku_id")
+def q_block_title(spark, d):
+    return C.self_join(_keyed(spark, d).filter("title_key is not null"), "title_key", source="title_key").select("sku_a", "sku_b")
+
+
+@query(f"with k as {BLOCKED} select a.sku_id as sku_a, b.sku_id as sku_b from k a join k b on a.brand is not distinct from b.brand and a.merchant = b.merchant and a.title_key is not distinct from b.title_key and a.sku_id < b.sku_id")
+def q_block_null_safe(spark, d):
+    return C.self_join(_keyed(spark, d), "brand", "merchant", "title_key", source="block", null_safe=True).select("sku_a", "sku_b")
+
+
+@query("select p.p_partkey as a, q.p_partkey as b from part p join part q on p.p_brand = q.p_brand and p.p_name = q.p_name and p.p_partkey < q.p_partkey where abs(p.p_size - q.p_size) / greatest(p.p_size, q.p_size)::double <= 0.1")
+def q_block_size_tolerant(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", F.col("p_size").cast("double").alias("v"))
+    a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", "p_name", F.col("v").alias("va")), p.select(F.col("p_partkey").alias("b"), "p_brand", "p_name", F.col("v").alias("vb"))
+    return a.join(b, ["p_brand", "p_name"]).filter("a < b").filter(X.unit_compatible(F.col("va"), F.lit("g"), F.col("vb"), F.lit("g"))).select("a", "b")
+
+
+@query(
+    f"""with k as {BLOCKED}, u as (select a.sku_id x, b.sku_id y, 'title' s from k a join k b on a.title_key = b.title_key and a.sku_id < b.sku_id
+    union all select a.sku_id, b.sku_id, 'brand_merchant' from k a join k b on a.brand = b.brand and a.merchant = b.merchant and a.sku_id < b.sku_id
+    union all select least(sku_a, sku_b), greatest(sku_a, sku_b), 'given' from candidate_pairs where sku_a <> sku_b and sku_a is not null and sku_b is not null)
+    select x as sku_a, y as sku_b, array_to_string(list_sort(list_distinct(list(s))), ';') as sources from u group by 1, 2"""
+)
+def q_candidate_union(spark, d):
+    k = _keyed(spark, d)
+    given = C.external_pairs(table(spark, d, "candidate_pairs").filter("sku_a is not null and sku_b is not null").select("sku_a", "sku_b"), "given")
+    u = C.union_channels(C.self_join(k, "title_key", source="title"), C.self_join(k, "brand", "merchant", source="brand_merchant"), given)
+    return u.select("sku_a", "sku_b", F.array_join("sources", ";").alias("sources"))
+
+
+@query("select source, count(*) as pairs from (select distinct sku_a, sku_b, unnest(string_split(sources, ';')) source from candidate_pairs where sources is not null and sku_a is not null and sku_b is not null) group by source")
+def q_source_counts(spark, d):
+    rows = table(spark, d, "candidate_pairs").filter("sources is not null and sku_a is not null and sku_b is not null").select("sku_a", "sku_b", F.explode(F.split("sources", ";")).alias("source")).distinct()
+    return C.source_counts(rows.select("sku_a", "sku_b", F.array("source").alias("sources")))
+
+
+@query(
+    f"""with k as {BLOCKED}, n as (select brand, count(*) c from k where brand is not null group by 1), n2 as (select brand, merchant, count(*) c from k where brand is not null and merchant is not null group by 1, 2), pos as (select distinct sku_a, sku_b from label_pairs where label = 1),
+    j as (select x.brand ba, y.brand bb, x.merchant ma, y.merchant mb from pos left join k x on x.sku_id = sku_a left join k y on y.sku_id = sku_b)
+    select 'brand' as scheme, (select coalesce(sum(c * (c - 1) / 2), 0)::bigint from n) as pairs, round(coalesce(sum((ba = bb)::int), 0) / count(*), 6) as recall from j
+    union all select 'brand_merchant', (select coalesce(sum(c * (c - 1) / 2), 0)::bigint from n2), round(coalesce(sum((ba = bb and ma = mb)::int), 0) / count(*), 6) from j"""
+)
+def q_block_recall(spark, d):
+    pos = _labels(spark, d).filter("label = 1")
+    return E.block_recall(_rows(spark, d), {"brand": ["brand"], "brand_merchant": ["brand", "merchant"]}, pos)
+
+
+@query(f"with k as {BLOCKED} select block_size, count(*) as blocks, count(*) * block_size * (block_size - 1) / 2.0 as pairs from (select count(*) block_size from k group by brand, merchant) group by block_size")
+def q_block_sizes(spark, d):
+    return C.block_sizes(_rows(spark, d), "brand", "merchant").withColumn("pairs", F.col("pairs").cast("double"))
+
+
+# -- vectors
+
+
+@query(
+    """with q as (select vec_id id, embedding::double[] v from embeddings where vec_id % 100 = 0), p as (select q.id, e.vec_id neighbour, list_dot_product(q.v, e.embedding::double[]) c from q join embeddings e on e.vec_id <> q.id)
+    select id, neighbour, round(c, 5) as cosine, row_number() over (partition by id order by c desc, neighbour) as rank from p qualify rank <= 20"""
+)
+def q_cosine_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    near = V.exact_top_k(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 20)
+    return near.select("id", "neighbour", F.round("cosine", 5).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    """with p as (select a.vec_id id, a.label la, b.label lb, row_number() over (partition by a.vec_id order by list_dot_product(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) r from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0)
+    select la as label, round(avg((la = lb)::int), 6) as agreement, count(*) as n from p where r <= 5 group by la"""
+)
+def q_knn_label_agreement(spark, d):
+    e = table(spark, d, "embeddings")
+    near = V.exact_top_k(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)
+    labels = e.select("vec_id", "label")
+    both = near.join(labels.withColumnsRenamed({"vec_id": "id", "label": "la"}), "id").join(labels.withColumnsRenamed({"vec_id": "neighbour", "label": "lb"}), "neighbour")
+    return both.groupBy(F.col("la").alias("label")).agg(F.round(F.avg((F.col("la") == F.col("lb")).cast("int")), 6).alias("agreement"), F.count("*").alias("n"))
+
+
+@query()
+def q_ivf_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return V.ivf_top_k(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 20)
+
+
+@query()
+def q_ivf_recall(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.filter("vec_id % 100 = 0")
+    return V.recall_against_exact(V.ivf_top_k(q, e, "vec_id", "embedding", 20, probes=16), V.exact_top_k(q, e, "vec_id", "embedding", 20))
+
+
+TERMS = "(list_transform(regexp_extract_all(lower(t), '[a-z]+'), lambda w: 'w:' || w) || " + " || ".join(f"[('c{n}:' || substring(f, i, {n})) for i in range(1, length(f) - {n - 2})]" for n in (2, 3, 4)) + ")"
+
+
+@query(
+    f"""with t as (select sku_id, coalesce(sku_name_chi, '') t, {FOLD.format("coalesce(sku_name_chi, '')")} f from {FIRST}), h as (select sku_id, md5(x) h from (select sku_id, unnest({TERMS}) x from t)),
+    b as (select sku_id, ('0x' || substring(h, 1, 8))::bigint % 4096 bucket, case when ('0x' || substring(h, 9, 1))::bigint % 2 = 0 then 1 else -1 end s from h),
+    tf as (select sku_id, bucket, sign(sum(s)) * ln(1 + abs(sum(s))) tf from b group by 1, 2 having sum(s) <> 0), i as (select bucket, ln(((select count(*) from t) + 1) / (count(*) + 1)) + 1 idf from tf group by 1),
+    w as (select sku_id, tf.bucket, tf * idf w from tf join i on i.bucket = tf.bucket), n as (select sku_id, sqrt(sum(w * w)) norm from w group by 1)
+    select w.sku_id, bucket, round(w / norm, 6) as w from w join n on n.sku_id = w.sku_id"""
+)
+def q_hashed_tfidf(spark, d):
+    v = V.hashed_tfidf(_listings(spark, d).select("sku_id", F.coalesce("sku_name_chi", F.lit("")).alias("t")), "sku_id", "t")
+    return v.select("sku_id", "bucket", F.round("w", 6).alias("w"))
+
+
+@query(
+    """with h as (select vec_id, list_sum([case when embedding[i + 1] > 0 then (1::hugeint << i) else 0 end for i in range(0, 64)])::hugeint b from embeddings)
+    select least(x.vec_id, y.vec_id) as a, greatest(x.vec_id, y.vec_id) as b, bit_count(xor(x.b, y.b))::int as distance from h x join h y on x.vec_id < y.vec_id where bit_count(xor(x.b, y.b)) <= 3"""
+)
+def q_hamming_bands(spark, d):
+    bit = lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))
+    bits = F.transform("embedding", bit)
+    packed = F.aggregate(F.reverse(bits), F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x))
+    return IM.near_duplicates(table(spark, d, "embeddings").select("vec_id", packed.alias("h")), "vec_id", "h", 3)
+
+
+# -- pair features
+
+PAIRED = f"(select b.sku_a, b.sku_b, {FOLD.format("coalesce(x.sku_name_chi, '')")} fa, {FOLD.format("coalesce(y.sku_name_chi, '')")} fb from {BEST} b join {FIRST} x on x.sku_id = b.sku_a join {FIRST} y on y.sku_id = b.sku_b)"
+
+
+def _gram_pairs(spark, d) -> DataFrame:
+    g = _listings(spark, d).select("sku_id", T.char_ngrams(F.coalesce("sku_name_chi", F.lit(""))).alias("g"))
+    return _best_scores(spark, d).join(g.withColumnsRenamed({"sku_id": "sku_a", "g": "ga"}), "sku_a").join(g.withColumnsRenamed({"sku_id": "sku_b", "g": "gb"}), "sku_b")
+
+
+@query(f"with p as {PAIRED}, g as (select sku_a, sku_b, {GRAMS.format('fa')} ga, {GRAMS.format('fb')} gb from p) select sku_a, sku_b, round(case when len(list_distinct(ga || gb)) = 0 then 0 else len(list_intersect(ga, gb)) / len(list_distinct(ga || gb))::double end, 6) as jaccard from g")
+def q_bigram_jaccard(spark, d):
+    return _gram_pairs(spark, d).select("sku_a", "sku_b", F.round(FE.jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard"))
+
+
+@query(
+    f"""with p as {PAIRED}, t as (select sku_id, unnest({GRAMS.format('f')}) g from (select sku_id, {FOLD.format("coalesce(sku_name_chi, '')")} f from {FIRST})), i as (select g, ln(((select count(*) from {FIRST}) + 1) / (count(*) + 1)) + 1 w from t group by g),
+    s as (select sku_id, sum(w) s from t join i on i.g = t.g group by 1), c as (select p.sku_a, p.sku_b, sum(w) c from p join t x on x.sku_id = p.sku_a join t y on y.sku_id = p.sku_b and y.g = x.g join i on i.g = x.g group by 1, 2)
+    select p.sku_a, p.sku_b, round(coalesce(c / nullif(coalesce(a.s, 0) + coalesce(b.s, 0) - c, 0), 0), 5) as similarity from p left join c on c.sku_a = p.sku_a and c.sku_b = p.sku_b left join s a on a.sku_id = p.sku_a left join s b on b.sku_id = p.sku_b"""
+)
+def q_weighted_jaccard(spark, d):
+    g = _listings(spark, d).select("sku_id", T.char_ngrams(F.coalesce("sku_name_chi", F.lit(""))).alias("g"))
+    n = g.agg(F.count("*").alias("n"))
+    idf = M.document_frequency(g, "g").crossJoin(F.broadcast(n)).transform(lambda x: M.idf(x, F.col("n"))).select("term", "idf")
+    w = FE.with_weights(g, "g", idf)
+    p = _best_scores(spark, d).join(w.withColumnsRenamed({"sku_id": "sku_a", "g": "ga", "weights": "wa"}), "sku_a").join(w.withColumnsRenamed({"sku_id": "sku_b", "g": "gb", "weights": "wb"}), "sku_b")
+    both = F.map_zip_with("wa", "wb", lambda k, x, y: F.coalesce(x, y))
+    return p.withColumn("w", both).select("sku_a", "sku_b", F.round(FE.weighted_jaccard(F.col("ga"), F.col("gb"), F.col("w"), F.lit(0.0)), 5).alias("similarity"))
+
+
+# -- labels and evaluation
+
+
+def _ean_rows(spark, d) -> DataFrame:
+    return _rows(spark, d).withColumn("ean", X.eans("sku_id", "sku_name_chi"))
+
+
+_EANS = f"(select distinct sku_id, c from (select sku_id, unnest(regexp_extract_all(coalesce(sku_name_chi, ''), '[0-9]+') || string_split(sku_id, '_')) c from {FIRST}) where regexp_full_match(c, '[0-9]{{13}}') and ({WEIGHTED}) % 10 = 0)"
+
+
+@query(f"with e as {_EANS} select distinct a.sku_id as sku_a, b.sku_id as sku_b from e a join e b on a.c = b.c and a.sku_id < b.sku_id")
+def q_positive_pairs(spark, d):
+    return L.positives(_ean_rows(spark, d))
+
+
+@query(
+    f"""with e as (select sku_id, list_sort(list(c)) ean from {_EANS} group by 1), k as (select e.sku_id, e.ean, lower(trim(brand_name_chi)) brand, substring(e.sku_id, 1, 5) m from e join {FIRST} l on l.sku_id = e.sku_id)
+    select a.sku_id as sku_a, b.sku_id as sku_b from k a join k b on a.brand = b.brand and a.brand <> '' and a.sku_id < b.sku_id and not list_has_any(a.ean, b.ean)"""
+)
+def q_negative_pairs(spark, d):
+    rows = _ean_rows(spark, d).withColumns({"brand_key": F.coalesce("brand", F.lit("")), "pack_count": F.lit(1), "unit_value": F.lit(1.0), "unit_uom": F.lit("g")}).withColumns({"origin": F.array().cast("array<string>"), "form": F.lit("UNKNOWN")})
+    return L.negatives(rows, L.positives(rows))
+
+
+@query(
+    """with g as (select sku_id, brand_canonical, product_form, unit, pack_count, sku_name from sku_groups where unit is not null and unit <> '' and brand_canonical is not null and brand_canonical <> '' and sku_name is not null)
+    select a.sku_id as sku_a, b.sku_id as sku_b from g a join g b on a.brand_canonical = b.brand_canonical and a.product_form = b.product_form and a.unit = b.unit and a.sku_name = b.sku_name and a.sku_id < b.sku_id and a.pack_count <> b.pack_count"""
+)
+def q_pack_invariance_pairs(spark, d):
+    g = table(spark, d, "sku_groups").filter("unit is not null and unit <> '' and brand_canonical is not null and brand_canonical <> '' and sku_name is not null")
+    rows = g.select("sku_id", F.col("brand_canonical").alias("brand_id"), F.hash("unit").cast("double").alias("unit_value"), F.col("unit").alias("unit_uom"), F.col("product_form").alias("form"), "pack_count", F.array().cast("array<string>").alias("origin"))
+    return L.pack_invariance(rows, g.select("sku_id", F.array("sku_name").alias("signature")))
+
+
+@query(
+    f"""with j as (select label, coalesce(score, -1) s from {LABELS} l join {BEST} b on b.sku_a = l.sku_a and b.sku_b = l.sku_b), r as (select label, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 r from j)
+    select round((sum(case when label = 1 then r end) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)), 6) as auc, coalesce(sum(label), 0)::bigint as positives, coalesce(sum(1 - label), 0)::bigint as negatives from r"""
+)
+def q_mid_rank_auc(spark, d):
+    j = _labels(spark, d).join(_best_scores(spark, d), ["sku_a", "sku_b"]).select("label", F.coalesce("score", F.lit(-1.0)).alias("s"))
+    return E.auc(j, "label", "s").select(F.col("auc").cast("double"), "positives", "negatives")
+
+
+@query(
+    f"""with j as (select label, coalesce(score, -1) s from {LABELS} l join {BEST} b on b.sku_a = l.sku_a and b.sku_b = l.sku_b), t as (select unnest([0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99])::double threshold),
+    c as (select threshold, count_if(s >= threshold and label = 1) tp, count_if(s >= threshold and label <> 1) fp, count_if(s < threshold and label = 1) fn, count_if(s < threshold and label <> 1) tn from j, t group by 1)
+    select threshold, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn::bigint as tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall from c"""
+)
+def q_threshold_curve(spark, d):
+    return E.score_curve(_labels(spark, d).join(_best_scores(spark, d), ["sku_a", "sku_b"]))
+
+
+_GROUPED = "(select sku_id, group_id cluster from sku_groups where group_id is not null)"
+
+
+@query(
+    f"""with g as {_GROUPED}, z as (select count(*) n_groups, count_if(s = 1) n_singletons, max(s) max_group from (select count(*) s from g group by cluster)), j as (select l.label, coalesce(x.cluster = y.cluster, false) same from {LABELS} l left join g x on x.sku_id = l.sku_a left join g y on y.sku_id = l.sku_b)
+    select any_value(n_groups) as n_groups, any_value(n_singletons)::bigint as n_singletons, any_value(max_group) as max_group, round(coalesce(count_if(same and label = 1) / nullif(count_if(label = 1), 0), 0), 6) as recall,
+    round(coalesce(count_if(same and label = 0) / nullif(count_if(label = 0), 0), 0), 6) as merge_rate, round(coalesce(count_if(same and label = 1) / nullif(count_if(same), 0), 0), 6) as precision from j, z"""
+)
+def q_group_metrics(spark, d):
+    g = table(spark, d, "sku_groups").filter("group_id is not null").select("sku_id", F.col("group_id").alias("cluster"))
+    labels = _labels(spark, d)
+    m = E.metrics(g, labels.filter("label = 1"), labels.filter("label = 0"), labels.limit(0))
+    return m.select("n_groups", "n_singletons", "max_group", *[F.round(c, 6).alias(c) for c in ("recall", "merge_rate", "precision")])
+
+
+@query(
+    """with g as (select sku_id, group_id from sku_groups where group_id is not null), t as (select sku_id, nullif(product_form, 'UNKNOWN') form from sku_groups where group_id is not null), b as (select g.sku_id, g.group_id, t.form from g join t on t.sku_id = g.sku_id where form is not null),
+    n as (select group_id, form, count(*) n from b group by 1, 2), x as (select n, sum(n) over (partition by group_id) nc, sum(n) over (partition by form) nl from n) select round(sum(n * n / nc) / sum(n), 6) as precision, round(sum(n * n / nl) / sum(n), 6) as recall from x"""
+)
+def q_b_cubed(spark, d):
+    g = table(spark, d, "sku_groups").filter("group_id is not null")
+    return E.b_cubed(g.select("sku_id", F.col("group_id").alias("cluster")), g.select("sku_id", F.nullif("product_form", F.lit("UNKNOWN")).alias("label")).filter("label is not null"))
+
+
+@query(
+    """with g as (select group_id, count(distinct case when product_form <> 'UNKNOWN' then product_form end) f, count(distinct nullif(unit, '')) u, bool_or(product_form = 'soap_bar') s, bool_or(product_form = 'body_wash') w from sku_groups group by 1)
+    select 'one form' as "check", count_if(f > 1)::bigint as faults from g union all select 'one unit', count_if(u > 1)::bigint from g union all select 'bars apart from washes', count_if(coalesce(s, false) and coalesce(w, false))::bigint from g"""
+)
+def q_mixed_variant_check(spark, d):
+    g = table(spark, d, "sku_groups")
+    checks = [E.one_label_per_group(g, F.nullif("product_form", F.lit("UNKNOWN")), "one form"), E.one_label_per_group(g, F.nullif("unit", F.lit("")), "one unit"), E.disjoint(g, F.col("product_form") == "soap_bar", F.col("product_form") == "body_wash", "bars apart from washes")]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2])
+
+
+@query(
+    f"""with l as (select *, regexp_matches(sku_id, '_[0-9]{{13}}') has from {FIRST}) select field, round(avg(case when has then v end), 6) as with_code, round(avg(case when not has then v end), 6) as without_code
+    from (select has, 'brand' field, (brand_name_chi is not null)::int v from l union all select has, 'pack_size', (pack_size_chi is not null)::int from l union all select has, 'origin', (origin_chi is not null)::int from l) group by field"""
+)
+def q_bias_rates(spark, d):
+    rows = _listings(spark, d)
+    return E.selection_bias(rows, F.col("sku_id").rlike("_[0-9]{13}"), {"brand": F.col("brand_name_chi").isNotNull(), "pack_size": F.col("pack_size_chi").isNotNull(), "origin": F.col("origin_chi").isNotNull()})
+
+
+_LEVELS = {"raw": "t", "lower": "lower(t)", "folded": FOLD.format("t"), "no_digits": "regexp_replace(" + FOLD.format("t") + ", '[0-9]+', '', 'g')"}
+
+
+@query(
+    f"with t as (select sku_id, sku_name_chi t from {FIRST} where sku_name_chi is not null), pos as (select distinct sku_a, sku_b from label_pairs where label = 1) "
+    + " union all ".join(f"select '{n}' as level, (select count(distinct {e}) from t where {e} <> '') as groups, (select count(*) from pos join (select sku_id, {e} k from t) x on x.sku_id = sku_a join (select sku_id, {e} k from t) y on y.sku_id = sku_b where x.k = y.k and x.k <> '') as pairs_found" for n, e in _LEVELS.items())
+)
+def q_norm_ablation(spark, d):
+    rows = _listings(spark, d).select("sku_id", F.col("sku_name_chi").alias("t")).filter("t is not null")
+    levels = {"raw": F.col("t"), "lower": F.lower("t"), "folded": T.fold("t"), "no_digits": F.regexp_replace(T.fold("t"), "[0-9]+", "")}
+    return E.normalisation_levels(rows, levels, _labels(spark, d).filter("label = 1"))
+
+
+@query(
+    f"""with p as {PAIRED}, g as (select sku_a, sku_b, {GRAMS.format('fa')} ga, {GRAMS.format('fb')} gb from p), j as (select g.sku_a, g.sku_b, coalesce(len(list_intersect(ga, gb)) / nullif(len(list_distinct(ga || gb)), 0)::double, 0) j from g), t as (select unnest([0.5, 0.6, 0.7, 0.8])::double threshold),
+    pos as (select distinct sku_a, sku_b from label_pairs where label = 1) select threshold, count(*) as pairs, round(count(pos.sku_a) / (select count(*) from pos)::double, 6) as recall from j join t on j.j >= threshold left join pos on pos.sku_a = j.sku_a and pos.sku_b = j.sku_b group by threshold"""
+)
+def q_jaccard_sweep(spark, d):
+    return E.block_similarity_sweep(_gram_pairs(spark, d), _labels(spark, d).filter("label = 1"))
+
+
+# -- clusters, ids, names
+
+
+@query(
+    """with recursive e as (select sku_a a, sku_b b from candidate_pairs where score >= 0.8 and sku_a <> sku_b union select sku_b, sku_a from candidate_pairs where score >= 0.8 and sku_a <> sku_b), r(x, y) as (select distinct a, a from e union select r.x, e.b from r join e on r.y = e.a)
+    select x as member, min(y) as component from r group by x"""
+)
+def q_connected_components(spark, d):
+    return K.connected_components(table(spark, d, "candidate_pairs").filter("score >= 0.8"))
+
+
+def _scores(spark, d) -> DataFrame:
+    s = _best_scores(spark, d)
+    return s.select("sku_a", "sku_b", "score", F.col("score").isNull().alias("vetoed"), F.coalesce(F.col("score") >= 0.999, F.lit(False)).alias("must"))
+
+
+@query()
+def q_constrained_clusters(spark, d):
+    return K.constrained_clusters(_rows(spark, d), _scores(spark, d), 0.8)
+
+
+@query(
+    f"""with n as (select sku_id, brand || '|' || coalesce(title_key, '') c from {BLOCKED} where brand is not null), o as (select distinct sku_id, group_id g from sku_groups where group_id is not null), a as (select c, count(distinct sku_id) na from n group by 1), b as (select g, count(*) nb from o group by 1)
+    select n.c as cluster, o.g as previous_group_id, count(*) as shared, round(count(*) / least(any_value(na), any_value(nb))::double, 6) as containment, round(count(*) / (any_value(na) + any_value(nb) - count(*))::double, 6) as jaccard from n join o on o.sku_id = n.sku_id join a on a.c = n.c join b on b.g = o.g group by 1, 2"""
+)
+def q_lineage_overlap(spark, d):
+    new = _rows(spark, d).filter("brand is not null").select("sku_id", F.concat_ws("|", "brand", F.coalesce("title_key", F.lit(""))).alias("cluster"))
+    return I.overlaps(new, table(spark, d, "sku_groups")).withColumns({"containment": F.round("containment", 6), "jaccard": F.round("jaccard", 6)})
+
+
+@query()
+def q_assigned_ids(spark, d):
+    new = _rows(spark, d).select("sku_id", F.concat_ws("|", F.coalesce("brand", F.lit("")), F.coalesce("title_key", F.lit(""))).alias("cluster"))
+    return I.assign_ids(new, table(spark, d, "sku_groups"))[1]
+
+
+@query("select group_id as cluster, 'G_' || substring(sha256(array_to_string(list_sort(list_distinct(list(sku_id))), chr(31))), 1, 16) as group_id from sku_groups where group_id is not null group by group_id")
+def q_stable_ids(spark, d):
+    g = table(spark, d, "sku_groups").filter("group_id is not null").select("sku_id", F.col("group_id").alias("cluster"))
+    return I.fingerprints(g, separator="\x1f")
+
+
+@query(
+    """with g as (select group_id, any_value(n) n from (select group_id, first_value(group_name) over (partition by group_id order by sku_id) n from sku_groups where group_id is not null) group by 1), c as (select *, count(*) over (partition by n) k, n || ' #' || substring(group_id, 1, 6) s from g),
+    x as (select *, case when k > 1 then s else n end m from c) select group_id, case when count(*) over (partition by m) > 1 then n || ' #' || group_id else m end as name from x"""
+)
+def q_unique_names(spark, d):
+    g = table(spark, d, "sku_groups").filter("group_id is not null").groupBy("group_id").agg(F.min_by("group_name", "sku_id").alias("name"))
+    return N.suffix_names(g).select("group_id", "name")
+
+
+@query()
+def q_gbdt_scores(spark, d):
+    feats = ["jaccard", "cosine", "len_ratio"]
+    p = _gram_pairs(spark, d)
+    x = p.select("sku_a", "sku_b", FE.jaccard(F.col("ga"), F.col("gb")).alias("jaccard"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce(F.try_divide(F.least(F.size("ga"), F.size("gb")), F.greatest(F.size("ga"), F.size("gb"))), F.lit(0.0)).cast("double").alias("len_ratio"))
+    labelled = L.class_weight(x.join(_labels(spark, d), ["sku_a", "sku_b"]).withColumn("fold", F.pmod(F.xxhash64("sku_a"), F.lit(5)).cast("int")))
+    models = B.fit_by_fold(labelled, feats, trees=60)
+    if not models:
+        return x.limit(0).withColumn("probability", F.lit(0.0))
+    return B.score(x, models, feats).select("sku_a", "sku_b", "probability")
+
+
+@query("select event_id, case when try_cast(json_extract_string(props, '$.k') as double) between 0 and 50 then try_cast(json_extract_string(props, '$.k') as double) end as k from events")
+def q_json_validate(spark, d):
+    k = F.from_json("props", "k double")["k"]
+    return table(spark, d, "events").select("event_id", F.when(k.between(0, 50), k).alias("k"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
