@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.normal_form import reading_form
+from samewise.session import cut
 
 # What sellers put around a brand.
 DECORATIONS_HAN = "官方旗艦店 官方旗舰店 旗艦店 旗舰店 專門店 专门店 專賣店 专卖店 官方店 官方 正品 品牌 授權 授权 代理"
@@ -123,13 +124,15 @@ def resolve(entries: DataFrame, raw: str, brand_ref: DataFrame, cover: float = 0
     name_tokens = names.withColumn("t", F.explode(bare("name"))).select("brand_id", "name", F.col("t.kind").alias("kind"), F.col("t.token").alias("word")).withColumn("script", F.lower("kind")).distinct()
     n_names = names.agg(F.count("*").alias("n_names"))
     idf = name_tokens.groupBy("kind", "word").agg(F.countDistinct("brand_id").alias("df")).crossJoin(F.broadcast(n_names)).select("kind", "word", F.log(F.col("n_names") / F.col("df") + 1).alias("w"), F.log(F.col("n_names") + 1.0).alias("w_most"))
-    name_tokens = name_tokens.join(idf, ["kind", "word"])
+    # written between the steps: one plan of all of them, replanned at each of its stages, is what fills a driver
+    name_tokens = cut(name_tokens.join(idf, ["kind", "word"]))
+    idf = name_tokens.select("kind", "word", "w").distinct()
     name_size = name_tokens.filter("kind <> 'L'").groupBy("brand_id", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("name_size"))
     stock = name_tokens.filter("kind = 'h'").select(F.explode(F.split("word", "")).alias("c")).agg(F.collect_set("c").alias("stock"))
 
     e = entries.select(F.col(f"`{raw}`").alias("raw")).filter("raw is not null").distinct()
-    entry_tokens = e.withColumn("t", F.explode(cut_up("raw"))).select("raw", F.col("t.kind").alias("kind"), F.col("t.token").alias("token"))
-    fixed = correct_tokens(entry_tokens, name_tokens, stock)
+    entry_tokens = cut(e.withColumn("t", F.explode(cut_up("raw"))).select("raw", F.col("t.kind").alias("kind"), F.col("t.token").alias("token")))
+    fixed = cut(correct_tokens(entry_tokens, name_tokens, stock))
     most = n_names.select(F.log(F.col("n_names") + 1.0).alias("w_most"))
     weighed = entry_tokens.join(fixed, ["kind", "token"], "left").join(idf.select("kind", "word", "w"), ["kind", "word"], "left").crossJoin(F.broadcast(most))
     weighed = weighed.select("raw", "kind", F.lower("kind").alias("script"), "token", "word", "sim", F.coalesce("w", "w_most").alias("w"))
@@ -147,6 +150,7 @@ def resolve(entries: DataFrame, raw: str, brand_ref: DataFrame, cover: float = 0
     )
     together = met.filter("kind = 'L'").select("raw", "brand_id", F.col("sim").alias("score"))
     best = tokenwise.select("raw", "brand_id", "score").unionByName(together).groupBy("raw").agg(F.max_by("brand_id", F.struct("score", -F.col("brand_id"))).alias("brand_id"), F.max("score").alias("score"))
+    best = cut(best)
     return e.join(best, "raw", "left").select("raw", F.coalesce("brand_id", F.lit(0)).cast("bigint").alias("brand_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
