@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from samewise.llm import brands, components, distinct_terms, mixing, normal_form, same_product, sentences, tokens
-from samewise.session import table
+from samewise.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +39,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(mixing.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(cut(mixing.sized_documents(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(mixing.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+    return mixing.report(cut(mixing.sized_documents(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
