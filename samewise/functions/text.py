@@ -45,7 +45,7 @@ def squeeze(c: Column | str) -> Column:
 
 
 def _without(c: Column | str, pattern: str) -> Column:
-    return squeeze(F.regexp_replace(col(c), f"(?iu)(?:{pattern})", " "))
+    return squeeze(F.regexp_replace(col(c), f"(?i)(?:{pattern})", " "))
 
 
 def strip_noise(c: Column | str, pack: DomainPack = DEFAULT_PACK) -> Column:
@@ -126,20 +126,20 @@ def form_pattern(pack: DomainPack = DEFAULT_PACK) -> str:
 
 def packfree(c: Column | str, pack: DomainPack = DEFAULT_PACK) -> Column:
     """A clean title without sizes and pack counts; kinds and variants stay."""
-    no_units = F.regexp_replace(clean_title(c, pack), rf"(?iu)\d+(?:\.\d+)?\s*(?:{unit_pattern(pack)})", " ")
-    return squeeze(F.regexp_replace(no_units, f"(?iu)(?:{PACK_WORDS})", " "))
+    no_units = F.regexp_replace(clean_title(c, pack), rf"(?i)\d+(?:\.\d+)?\s*(?:{unit_pattern(pack)})", " ")
+    return squeeze(F.regexp_replace(no_units, f"(?i)(?:{PACK_WORDS})", " "))
 
 
 def residual(c: Column | str, brand: Column | str, pack: DomainPack = DEFAULT_PACK) -> Column:
     """What is left of a title without the brand's words, sizes, pack counts, kinds and generic words: the variant."""
     pieces = F.filter(F.split(F.lower(F.coalesce(col(brand), F.lit(""))), r"[\s\-_/]+"), lambda p: F.length(p) >= 2)
     text = F.aggregate(pieces, F.lower(packfree(c, pack)), lambda t, p: F.replace(t, p, F.lit(" ")))
-    return squeeze(F.regexp_replace(F.regexp_replace(text, f"(?iu)(?:{form_pattern(pack)})", " "), f"(?iu)(?:{pack.generic})", " "))
+    return squeeze(F.regexp_replace(F.regexp_replace(text, f"(?i)(?:{form_pattern(pack)})", " "), f"(?i)(?:{pack.generic})", " "))
 
 
 def tokens(c: Column | str, brand: Column | str, lo: int = 2, hi: int = 4, pack: DomainPack = DEFAULT_PACK) -> Column:
     """Of the residual: Latin words of three and more letters and all lo- to hi-grams of runs of ideographs, sorted and distinct."""
-    bad = f"(?iu)(?:{form_pattern(pack)}|{pack.generic})"
+    bad = f"(?i)(?:{form_pattern(pack)}|{pack.generic})"
 
     def cut_up(r: Column) -> Column:
         runs = F.regexp_extract_all(r, F.lit(r"([\x{4e00}-\x{9fff}]+)"), F.lit(1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from samewise.config import DEFAULT_PACK, DomainPack
 from samewise.functions import extract as X
 from samewise.functions import text as T
+from samewise.session import cut
 
 TEXTS = ("sku_name_chi", "brand_name_chi", "pack_size_chi", "origin_chi", "summary_chi", "description_chi")
 
@@ -60,7 +61,8 @@ def build_attributes(listings: DataFrame, use_form: bool = True, pack: DomainPac
         form.alias("f"),
         X.origins("n_origin_chi", pack).alias("origin"),
     )
-    df = X.propagate_eans(df)
+    # a barrier: the joins below read these rows five times, and reading texts costs far more than a table
+    df = X.propagate_eans(cut(df))
     df = df.withColumn("gs1", X.gs1_prefix(F.array_min("ean_all")))
     prefixes = df.filter("brand_key <> ''").select(F.explode("ean").alias("e"), "brand_raw", "row_ord").withColumn("gs1", X.gs1_prefix("e"))
     canonical = majority(prefixes, "gs1", "brand_raw", "row_ord").select("gs1", F.col("brand_raw").alias("gs1_brand"))
