@@ -52,7 +52,7 @@ class Thresholds:
     trees: int = 180
     depth: int = 3
     rate: float = 0.07
-    nprobe: int = 8
+    nprobe: int | None = None
 
 
 DEFAULT_PACK = DomainPack()

@@ -329,7 +329,7 @@ def q_ivf_topk(spark, d):
 def q_ivf_recall(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 100 = 0")
-    return V.recall_against_exact(V.ivf_top_k(q, e, "vec_id", "embedding", 20, probes=16), V.exact_top_k(q, e, "vec_id", "embedding", 20))
+    return V.recall_against_exact(q_ivf_topk(spark, d), V.exact_top_k(q, e, "vec_id", "embedding", 20))
 
 
 TERMS = "(list_transform(regexp_extract_all(lower(t), '[a-z]+'), lambda w: 'w:' || w) || " + " || ".join(f"[('c{n}:' || substring(f, i, {n})) for i in range(1, length(f) - {n - 2})]" for n in (2, 3, 4)) + ")"
