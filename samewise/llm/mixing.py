@@ -45,15 +45,18 @@ def capacities(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def largest_budget(capacity: DataFrame) -> float:
-    """The tokens of the largest mix that meets every target: the least of capacity / share. One number reaches the driver."""
-    got = capacity.filter("target_share > 0").agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share"))).first()[0]
+    """The tokens of the largest mix that meets every target that can be met: the least of capacity / share. One number reaches the driver.
+
+    Sources that can give no token take no part in the minimum; ``report`` tells that they are not met.
+    """
+    got = capacity.filter("target_share > 0 and available > 0 and max_repeats > 0").agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share"))).first()[0]
     return float(got or 0.0)
 
 
 def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 17) -> DataFrame:
     """(doc_id, source, pass, tokens, finish) of the mix, range-sorted by finish time.
 
-    Without a budget, the largest that meets every target. With a larger one, sources that run dry stay below their share.
+    Without a budget, the largest that meets every target of a source that has tokens to give. With a larger one, sources that run dry stay below their share.
     """
     if budget is None:
         budget = largest_budget(capacities(sized, targets))

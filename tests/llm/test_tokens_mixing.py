@@ -73,3 +73,11 @@ def test_mix_of_nothing(spark):
     tg = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert mixing.mix(df, tg).count() == 0
     assert [x.actual_share for x in mixing.report(df, tg).collect()] == [0.0]
+
+
+def test_sources_that_give_nothing_do_not_empty_the_mix(spark):
+    df = spark.createDataFrame([(1, "a", 10), (2, "a", 10), (3, "b", 10), (4, "void", 0), (5, "never", 10)], "doc_id long, source string, tokens long")
+    tg = spark.createDataFrame([("a", 0.4, 1), ("b", 0.2, 1), ("void", 0.1, 1), ("none", 0.2, 3), ("never", 0.1, 0)], "source string, target_share double, max_repeats int")
+    rep = {x.source: x for x in mixing.report(df, tg).collect()}
+    assert {s: x.met for s, x in rep.items()} == {"a": True, "b": True, "void": False, "none": False, "never": False}
+    assert {s: x.mixed for s, x in rep.items()} == {"a": 20, "b": 10, "void": 0, "none": 0, "never": 0}
