@@ -561,7 +561,7 @@ def q_gbdt_scores(spark, d):
     p = _gram_pairs(spark, d)
     x = p.select("sku_a", "sku_b", FE.jaccard(F.col("ga"), F.col("gb")).alias("jaccard"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce(F.try_divide(F.least(F.size("ga"), F.size("gb")), F.greatest(F.size("ga"), F.size("gb"))), F.lit(0.0)).cast("double").alias("len_ratio"))
     labelled = L.class_weight(x.join(_labels(spark, d), ["sku_a", "sku_b"]).withColumn("fold", F.pmod(F.xxhash64("sku_a"), F.lit(5)).cast("int")))
-    models = B.fit_by_fold(labelled, feats, trees=60)
+    models = B.fit_by_fold(labelled, feats)
     if not models:
         return x.limit(0).withColumn("probability", F.lit(0.0))
     return B.score(x, models, feats).select("sku_a", "sku_b", "probability")
