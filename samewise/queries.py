@@ -73,6 +73,11 @@ def p6_found(spark, d):
     return quantities.p6_found(table(spark, d, "listings"), table(spark, d, "sku_groups"), table(spark, d, "unit_ref"))
 
 
+@query()
+def p6_contents(spark, d):
+    return quantities.p6_contents(table(spark, d, "listings"), table(spark, d, "sku_groups"), table(spark, d, "unit_ref"))
+
+
 # -- text
 
 

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from samewise.functions.unicode_forms import fold_letters, fold_width
-from samewise.operators.quantities import contents, han_number, p6_found, readings, solve
+from samewise.operators.quantities import contents, han_number, p6_contents, p6_found, printed_error, readings, solve
 
 UNITS = [("mg", "g", 0.001), ("g", "g", 1.0), ("kg", "g", 1000.0), ("oz", "g", 28.3495), ("lb", "g", 453.592), ("ml", "ml", 1.0), ("cl", "ml", 10.0), ("l", "ml", 1000.0), ("floz", "ml", 29.5735), ("pc", "pc", 1.0)]
 FACTORS = {u: (b, f) for u, b, f in UNITS}
@@ -45,6 +45,26 @@ def test_two_amounts_that_fit_no_identity_are_flagged():
     assert solve(readings("100g 170g"), FACTORS)[3] is False
 
 
+def test_no_cap_on_amounts_or_pieces():
+    amounts = readings("5.7oz 5.75oz 5.78oz 5.79oz 5.81oz 5.83oz 5.82oz 165g")
+    assert len(amounts) == 8 and round(solve(amounts, FACTORS)[1]) == 165
+    assert solve(readings(fold_letters("共7200g / 100g")), FACTORS)[:2] == ("g", 100.0)  # 72 pieces
+    many = readings(" ".join(f"{i}g" for i in range(1, 900)))
+    assert len(many) == 899 and solve(many, FACTORS) is not None
+
+
+def test_printed_errors():
+    err = lambda t: printed_error(readings(t), FACTORS, solve(readings(t), FACTORS)[1])
+    assert err("165g") == 0.5 and abs(err("0.17kg") - 5) < 1e-9 and abs(err("5.8oz") - 0.05 * 28.3495) < 1e-9 and abs(err("1/2 lb") - 0.25 * 453.592) < 1e-9
+
+
+def test_other_columns_decide_between_readings(spark):
+    ref = spark.createDataFrame(UNITS, "unit_code string, base_uom string, factor double")
+    df = spark.createDataFrame([("100g 170g", "170g"), ("100g 170g", None), ("100g 170g", "皂")], "a string, b string")
+    got = [(r.content.qty, r.content.is_unique) for r in contents(df, ["a", "b"], ref).collect()]
+    assert got == [(170.0, True), (100.0, False), (100.0, False)]
+
+
 def test_han_numbers():
     assert [han_number(x) for x in ("十", "一百三十五", "一千", "二百五十", "兩", "一萬二千")] == [10, 135, 1000, 250, 2, 12000]
 
@@ -63,6 +83,7 @@ def test_found_and_edge_cases(spark):
     groups = spark.createDataFrame([("a", "500"), ("b", "1.5 litre"), ("c", None)], "sku_id string, unit string")
     got = {tuple(r) for r in p6_found(listings, groups, ref).collect()}
     assert got == {("listings", "a", "g", 60), ("listings", "b", "g", 90), ("listings", "e", "g", 75), ("sku_groups", "b", "ml", 1500)}
+    assert {(r.rec_table, r.sku_id, r.is_unique) for r in p6_contents(listings, groups, ref).collect()} == {(a, b, True) for a, b, _, _ in got}
     # a clashing column is replaced, others stay; an empty table stays empty
     out = contents(listings, ["sku_name_chi"], ref)
     assert out.columns == ["sku_id", "sku_name_chi", "pack_size_chi", "content"]
