@@ -34,6 +34,11 @@ DECORATIONS_LATIN = "official co ltd limited inc hk by brand store shop the tm r
 SIMPLIFIED = "兰丽丝玛凯达岚伦萝诺维宝莲乐尔欧诗贝韩国台湾泽龙凤东风云长礼优净凉单发叶园妇宁层岛库开张悦无时机杨枫树桥欢气洁涛润湿灯炉烛烟热猫现画盐纱织经绿缎肤芦萤试货购轩进选钟雾静韵饼鸥鹤鹿麦径温柠纸适榄荟体阁桦鲸苇霁鹭涧网个蝉涟鲤鸢笺箫砚红峦两约绒称资规产验种为寿"
 TRADITIONAL = "蘭麗絲瑪凱達嵐倫蘿諾維寶蓮樂爾歐詩貝韓國台灣澤龍鳳東風雲長禮優淨涼單發葉園婦寧層島庫開張悅無時機楊楓樹橋歡氣潔濤潤濕燈爐燭煙熱貓現畫鹽紗織經綠緞膚蘆螢試貨購軒進選鐘霧靜韻餅鷗鶴鹿麥徑溫檸紙適欖薈體閣樺鯨葦霽鷺澗網個蟬漣鯉鳶箋簫硯紅巒兩約絨稱資規產驗種為壽"
 
+# Further pairs whose simplified character stands for several traditional ones or for itself; only used towards simplified.
+MORE_TRADITIONAL = "髮製評裝隨倉價贈舊薑條臘"
+MORE_SIMPLIFIED = "发制评装随仓价赠旧姜条腊"
+
+_SIMPLIFY = str.maketrans(dict(zip(TRADITIONAL + MORE_TRADITIONAL, SIMPLIFIED + MORE_SIMPLIFIED, strict=True)))
 _UNSIMPLIFY = str.maketrans(dict(zip(SIMPLIFIED, TRADITIONAL, strict=True)))
 _SIMPLE = re.compile(f"[{SIMPLIFIED}]")
 
@@ -43,6 +48,11 @@ def traditional(text: str) -> str:
     return text.translate(_UNSIMPLIFY) if _SIMPLE.search(text) else text
 
 
+def one_script(text: str) -> str:
+    """The text in simplified characters as far as the table goes: the direction in which no character has two counterparts."""
+    return text if text.isascii() else text.translate(_SIMPLIFY)
+
+
 def tokens_of(raw: str | None, places: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
     """(script, token) of an entry: 'l' runs of Latin letters and digits, 'h' ideographs, 'L' all Latin ones run together.
 

@@ -1,225 +1,565 @@
-"""Product listings describing the same item (problem 5), by title combination voting.
-
-1. A title is read into canonical tokens: product line, scent or ingredient, kind, content of one piece, and an item code.
-   Wordings of one token (``木犀花``, ``Osmanthus``) are one; advertising, places, gifts and counts are no tokens.
-   What a title lacks, brand field, pack size and description give.
-2. Lines are no fixed list: they are learned from the corpus, from what is written as one (``X系列``, ``X之選``, a
-   description's product name); bare words are lines where the corpus has them as one, and a name in the other
-   script stands for the line with which it nearly always occurs.
-3. Token k-combinations vote. The combination of all four attributes names a product; combinations of fewer tokens, codes
-   and article numbers are scored by how often, how long and how early in the titles they occur, and each title that
-   lacks tokens takes its best combination.
-4. Verification: a combination counts only where all products that have it are one, and a title joins only where
-   none of its own tokens speaks against it. Titles of one product, directly or through a combination, are merged.
-
-Contents are brought to the amounts that are made: an amount is the most frequent one within ``SPREAD`` of it, so that
-5.8 oz, 0.164 kg and 165 g are one content.
+"""Product listings describing the same item (problem 5), by title combination voting over tokens learned from the corpus.
+
+1. *Tokens.* Titles and descriptions are brought to one form (reading form, small letters, one script of Chinese). Brand names and countries of the
+   reference and amounts are taken off; what is left of a title is cut into Latin words and runs of ideographs. Long runs are segmented by the corpus itself:
+   a run is one unit unless commoner units make it up (``手工皂紙`` is ``手工`` + ``皂紙``), and an ending that follows a fiftieth of all
+   different runs (``系列``) is an affix. Neighbouring Latin words that seek each other are one token.
+2. *Attributes.* A title's frequent token says something about the product if the descriptions beside it differ from all descriptions; advertising
+   does not. Tokens that predict the same descriptions are one class (``桂花``, ``木犀花``, ``osmanthus``), and classes that exclude each other in
+   titles are the values of one attribute (kinds, scents). No word list is used.
+3. *Names.* Rare tokens that descriptions repeat or that carry an affix are product lines, of whatever length; tokens that stand beside many lines name
+   families of them (brands outside the list). A name that nearly always stands with one line is that line in another script.
+4. *Brand.* From the title, else from the brand field by problem 1's operator, else a family. It is part of every product; unknown brands match any.
+5. *Voting.* Listings with all tokens are products. k-combinations of tokens are scored by how often, with how many tokens and how early in the titles
+   they stand; each title that lacks tokens takes its best combination that holds one product only (verification). Titles left over
+   vote among themselves, so products of which no listing is complete have groups too.
+
+An amount printed in base units is kept as it is. One printed in another unit or a fraction is the exact amount nearest to it among its line's, within
+the error of its printed digits, or within ``SPREAD`` for pounds and ounces.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
+from itertools import combinations
 
+import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.functions.unicode_forms import fold_letters
-from samewise.llm.brands import tokens_of, traditional
+from samewise.llm.brands import one_script, resolve
 from samewise.llm.normal_form import reading_form
-from samewise.operators.quantities import readings, solve, unit_factors
-from samewise.session import cut
+from samewise.operators.quantities import IMPERIAL, UNIT_WORDS, _READING, printed_error, readings, solve, unit_factors
+from samewise.session import cut, forget
 
-#: Log distance within which a shop's rounding (half a pound for 250 g at most) keeps a content.
+#: Log distance within which an amount in pounds or ounces stands for an exact one (half a pound for 250 g).
 SPREAD = 0.105
-#: Share of a name's occurrences that must go with one line.
-ALIAS_SHARE = 0.8
-
-# Wordings of scents and main ingredients, one group a line, named by the first; blanks as _.
-SCENTS = """
-mugwort 艾草 艾葉 | aloe aloe_vera 蘆薈 庫拉索蘆薈 | green_tea 綠茶 煎茶 | osmanthus 桂花 木犀花 | cedarwood 雪松 雪松木 | jasmine 茉莉 茉莉花
-rose 玫瑰 玫瑰花 | sandalwood 檀香 檀木 | olive 橄欖 橄欖油 | shea_butter 乳木果 乳油木 | lemongrass 香茅 檸檬草 | honey 蜂蜜 蜜糖
-tea_tree 茶樹 茶樹油 | papaya 木瓜 青木瓜 | coconut 椰子 椰油 | volcanic_clay 火山泥 火山灰泥 | pomegranate 石榴 紅石榴 | peppermint 薄荷 胡椒薄荷
-bamboo_charcoal 竹炭 竹碳 | lemon 檸檬 檸檬皮 | goat_milk 羊奶 山羊乳 | laurel 月桂 月桂油 | lavender 薰衣草 薰衣草花 熏衣草 | sea_salt 海鹽 海水鹽
-oatmeal 燕麥 燕麥片 | chamomile 洋甘菊 甘菊 | ginger 生薑 老薑 生姜 老姜 | unscented fragrance_free 無香 無味
-"""
-# Wordings of kinds of product, the more special kinds first.
-KINDS = """
-soap_paper 皂紙 香皂紙 紙皂 紙香皂 | laundry_soap 洗衣皂 家事皂 去污皂 | shampoo_bar 洗髮皂 髮皂 洗髮餅 洗發皂 發皂 洗發餅
-hand_wash 洗手液 潔手液 洗手乳 | body_wash shower_gel 沐浴露 沐浴乳 沐浴液 | body_lotion 潤膚露 潤膚乳 身體乳 | bath_salt 浴鹽 泡澡鹽 入浴鹽
-soap soap_bar 香皂 肥皂 手工皂 番梘 番枧 香梘 香枧 石鹼 石碱
-"""
-# Words of titles that are no tokens.
-NOISE = "滋潤 保濕 溫和 清爽 控油 嫩膚 天然 手工 冷製 經典 深層潔淨 無添加 店長推薦 回購率 人氣熱選 限時優惠 超值之選 送禮首選 全家適用 孕婦可用 現貨 即日寄出 小時出貨 新舊包裝隨機 包裝隨機 平行進口 原裝行貨 開倉價 新年份 好評 附皂碟 贈皂網 送起泡袋 淨重 製造 原箱 單件 件裝 盒裝"
-NOISE_LATIN = "natural gentle classic moisturizing handmade sheets sheet grams gram litre litres pack of sale hot new pcs"
-
-_HAN = "㐀-䶿一-鿿"
-
-
-def _lexicon(text: str) -> dict[str, str]:
-    groups = [g.split() for line in text.strip().splitlines() for g in line.split("|")]
-    return {traditional(w.replace("_", " ")): g[0] for g in groups for w in g}
-
-
-def _longest(words) -> str:
-    """Pattern of the words, longest first. A look at the first character rules out most places before any word is tried."""
-    ordered = sorted(words, key=lambda w: (-len(w), w))
-    kinds = []
-    for some, guard, after in (([w for w in ordered if w.isascii()], "(?<![a-z])", "(?![a-z])"), ([w for w in ordered if not w.isascii()], "", "")):
-        if some:
-            first = "".join(sorted({re.escape(w[0]) for w in some}))
-            kinds.append(f"(?=[{first}]){guard}(?:{'|'.join(map(re.escape, some))}){after}")
-    return "|".join(kinds)
-
-
-_SCENT, _KIND = _lexicon(SCENTS), _lexicon(KINDS)
-_SCENT_RE, _KIND_MASK, _NOISE_RE = re.compile(_longest(_SCENT)), re.compile(_longest(_KIND)), re.compile(_longest(traditional(NOISE).split()))
-_KIND_WORDS = [(w, k, re.compile(rf"(?<![a-z]){re.escape(w)}(?![a-z])") if w.isascii() else None) for w, k in _KIND.items()]
-_LINE_RE = re.compile(rf"(?<![{_HAN}])([{_HAN}]{{2,5}})(?:系列|之選)|([{_HAN}]{{3}})(?:系列|之選)")
-_RUN_RE, _LATIN_RE = re.compile(f"[{_HAN}]+"), re.compile(r"(?<![a-z0-9])[a-zà-öø-ÿ]{6,}(?![a-z0-9])")
-_CODE_RE = re.compile(r"(?<![a-z0-9])(k\d[a-z0-9]{3,}(?:-\d+)?)(?![a-z0-9])")
-_NAME_RE, _ORIGIN_RE = re.compile(r"(?:名稱|名称):(.*?)。"), re.compile(rf"([{_HAN}]{{3}})取名自")
-_SPEC_RE, _MADE_RE, _HELD_RE = re.compile(r"(?:規格|规格):(.*?)。"), re.compile(r"scent, (.*?) each"), re.compile(r"(?:成分含有|氣味以|气味以)([^、,。]*?)(?:、|為主|为主)|, ([a-z ]+) scent")
-_KEPT_RE = re.compile(r"延長([^。]*?)壽命|延长([^。]*?)寿命|注意:([^。]*?)不可食用")
-
-
-def _folded(text: str | None) -> str:
-    return traditional((reading_form(text) or "").casefold())
-
-
-def _kind_of(text: str) -> str | None:
-    """The most special kind of which a word stands in the text, whatever other words it overlaps (手工皂紙 is paper)."""
-    return next((k for w, k, alone in _KIND_WORDS if w in text and (alone is None or alone.search(text))), None)
-
-
-def read_title(title, brand, pack, description, factors, names=frozenset(), places=None) -> tuple:
-    """(line, words, names, scent, kind, uom, qty, line of the description, code, position) of a listing."""
-    form = reading_form(title) or ""
-    t = traditional(form.casefold())
-    code = (m[1].replace("-", "") if (m := _CODE_RE.search(t)) else None)
-    hit = _SCENT_RE.search(t)
-    rest = _SCENT_RE.sub("/", t) if hit else t
-    scent = _SCENT[hit[0]] if hit else None
-    kind = _kind_of(rest)
-    rest = _NOISE_RE.sub("/", _KIND_MASK.sub("/", rest))
-    if places is not None:
-        rest = places.sub("/", rest)
-    line, at = None, len(t)
-    if m := _LINE_RE.search(rest):
-        line, at = (m[1] or m[2])[-3:], m.start()
-    words = [] if line else [r[i : i + 3] for r in _RUN_RE.findall(rest) if 3 <= len(r) <= 9 for i in range(len(r) - 2)]
-    latin = [w for w in _LATIN_RE.findall(rest) if w not in names]
-    got = solve(readings(form), factors) or (solve(readings(fold_letters(pack)), factors) if pack else None)
-    told = None
-    if description and not (line and scent and kind and got):
-        d = _folded(description)
-        if m := _NAME_RE.search(d):
-            name = m[1]
-            kind = kind or _kind_of(_SCENT_RE.sub("/", name))
-            scents = list(_SCENT_RE.finditer(name))
-            scent = scent or (_SCENT[scents[-1][0]] if scents else None)
-            head = name[: scents[-1].start()] if scents else _KIND_MASK.sub("", name)
-            told = head[-3:] if re.fullmatch(f"[{_HAN}]{{3}}", head[-3:]) else None
-        elif m := _ORIGIN_RE.search(d):
-            told = m[1]
-        if not scent and (m := _HELD_RE.search(d)):
-            scent = _SCENT.get(m[1] or m[2])
-        if not kind and (m := _KEPT_RE.search(d)):
-            kind = _kind_of(next(x for x in m.groups() if x is not None))
-        if not got and (m := _SPEC_RE.search(d) or _MADE_RE.search(d)):
-            got = solve(readings(fold_letters(m[1])), factors)
-    position = min(at, hit.start() if hit else len(t)) / max(len(t), 1)
-    return line, list(dict.fromkeys(words)), list(dict.fromkeys(latin)), scent, kind, got[0] if got else None, float(round(got[1])) if got else None, told, code, position
-
-
-SCHEMA = "line string, words array<string>, names array<string>, scent string, kind string, uom string, qty double, told string, code string, position double"
-
-
-def _reader(factors, names, places):
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-
-    @F.pandas_udf(SCHEMA)
-    def read(title: pd.Series, brand: pd.Series, pack: pd.Series, description: pd.Series) -> pd.DataFrame:
-        out = [read_title(*x, factors, names, places) for x in zip(title, brand, pack, description, strict=True)]
-        return pd.DataFrame(out, columns=columns)
+#: Share of all listings, and least number of them, from which a token is frequent. At most tokens-a-title / FREQUENT tokens are, whatever the corpus.
+FREQUENT, LEAST = 0.001, 20
+#: Listings from which a unit or phrase is trusted.
+SUPPORT = 3
+#: Ideographs of the longest unit.
+UNIT = 12
+#: Share of all different runs that an affix must end, and of a name's occurrences that must go with one line.
+AFFIX, ALIAS = 0.02, 0.8
+#: Deviation (in standard errors) and effect (log ratio) from which a title's token and a description's belong together.
+DEVIATION, EFFECT = 6.0, 0.4
+#: Average likeness of the tokens of one class; occurrence together, against chance, of classes of one attribute; share of listings an attribute reaches.
+LIKENESS, EXCLUSIVE, REACH = 0.5, 0.25, 0.05
+#: Descriptions that would have repeated a name; fewer tell nothing against it.
+UNTOLD = 8
+#: Bound of the reference of brands, which each task reads titles with.
+BRANDS = 50_000
+
+_HAN, _LATIN = "㐀-䶿一-鿿", "a-zß-öø-ÿĀ-ſ"
+_PIECE = re.compile(rf"[{_HAN}]+|(?<![0-9{_LATIN}-])[{_LATIN}]{{2,}}(?: [{_LATIN}]{{2,}})*(?![0-9{_LATIN}])")
+_RUN = re.compile(f"[{_HAN}]+")
+_CODE = re.compile(rf"(?<![a-z0-9])(?=[a-z0-9-]*[a-z])(?=(?:[a-z0-9-]*\d){{3}})[a-z0-9]{{5,}}(?:-\d+)?(?![a-z0-9])")
+_UNITS = frozenset(w for words in UNIT_WORDS.values() for w in words.split()) | {"fl"}
+
+
+def folded(text: str | None) -> str:
+    return one_script((reading_form(text) or "").casefold())
+
+
+def automaton(words: dict[str, int]):
+    a = ahocorasick.Automaton()
+    for w, value in words.items():
+        a.add_word(w, (value, len(w)))
+    a.make_automaton()
+    return a
+
+
+def _letter(c: str) -> bool:
+    return c < "㐀" and c.isalnum()
+
+
+def scan(a, text: str) -> list[tuple[int, int, int]]:
+    """(start, end, value) of the automaton's words in a text, leftmost and longest first, Latin ones as whole words."""
+    if not len(a) or not text:
+        return []
+    hits = sorted((e - n + 1, -n, v) for e, (v, n) in a.iter(text))
+    out, last = [], -1
+    for s, n, v in hits:
+        e = s - n
+        if s < last or (s and _letter(text[s]) and _letter(text[s - 1])) or (e < len(text) and _letter(text[e - 1]) and _letter(text[e])):
+            continue
+        out.append((s, e, v))
+        last = e
+    return out
+
+
+def blank(text: str, spans: list[tuple[int, int, int]]) -> str:
+    parts, at = [], 0
+    for s, e, _ in spans:
+        parts += [text[at:s], " / "]
+        at = e
+    return "".join([*parts, text[at:]])
+
+
+# -- 1. tokens
+
+
+READ = "pieces array<string>, shown array<bigint>, uom string, qty double, error double, imperial boolean, code string, about string"
+
+
+def _content(texts: list[str], factors) -> tuple:
+    for text in texts:
+        if text and (got := solve(found := readings(text), factors)):
+            imperial = not any(r["code"] not in IMPERIAL and abs(math.log(v * factors[r["code"]][1] / got[1])) < 1e-6 for r in found if r["code"] in factors for v in r["numbers"])
+            return got[0], got[1], printed_error(found, factors, got[1]), imperial
+    return None, None, None, None
+
+
+def _reader(names: dict[str, int], factors):
+    """Titles to pieces, the listed brands they show, content, item code, and the description without names and amounts."""
+
+    @F.pandas_udf(READ)
+    def read(title: pd.Series, pack: pd.Series, description: pd.Series) -> pd.DataFrame:
+        known, out = automaton(names), []
+        for t, p, d in zip(title, pack, description, strict=True):
+            t, d = folded(t), folded(d)
+            hits = scan(known, t)
+            code = m[0].replace("-", "") if (m := _CODE.search(_READING.sub(" ", t))) else None
+            pieces = _PIECE.findall(_READING.sub(" / ", blank(t, hits)))
+            content = _content([fold_letters(t), fold_letters(p), fold_letters(d)], factors)
+            out.append((pieces, sorted({v for *_, v in hits if v >= 0}), *content, code, _READING.sub(" / ", blank(d, scan(known, d)))))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")])
 
     return read
 
 
-def tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> DataFrame:
-    """One row for each sku_id with its title's tokens; listings without a sku_id take no part, redelivered ones count once."""
-    ref = brand_ref.select("brand_canonical", "brand_alt", "home_country").limit(5001).collect()
-    if len(ref) > 5000:
-        raise ValueError("the reference of brands has over 5,000 rows")
-    names = frozenset(t for r in ref for x in r[:2] if x for _, t in tokens_of(x))
-    lands = sorted({_folded(r[2]) for r in ref if r[2]}, key=lambda w: (-len(w), w))
-    places = re.compile("|".join(map(re.escape, lands))) if lands else None
-    read = _reader(unit_factors(unit_ref), names, places)
-    rows = listings.filter("sku_id is not null").select("sku_id", read("sku_name_chi", "brand_name_chi", "pack_size_chi", "description_chi").alias("t"))
-    rows = rows.groupBy("sku_id").agg(F.min("t").alias("t")).select("sku_id", "t.*")
+def read_listings(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> DataFrame:
+    """One row for each sku_id; listings without one take no part, redelivered ones count once."""
+    ref = brand_ref.select("brand_id", "brand_canonical", "brand_alt", "home_country").limit(BRANDS + 1).collect()
+    if len(ref) > BRANDS:
+        raise ValueError(f"the reference of brands has over {BRANDS} rows")
+    names = {folded(r.home_country): -1 for r in ref if r.home_country} | {folded(x): r.brand_id for r in ref for x in (r.brand_canonical, r.brand_alt) if x and folded(x)}
+    names.pop("", None)
+    read = _reader(names, unit_factors(unit_ref))
+    rows = listings.filter("sku_id is not null").select("sku_id", F.col("brand_name_chi").alias("entry"), read("sku_name_chi", "pack_size_chi", "description_chi").alias("t"))
+    rows = rows.groupBy("sku_id").agg(F.min(F.struct("t", "entry")).alias("x")).select("sku_id", "x.entry", "x.t.*")
     article = F.regexp_extract("sku_id", r"_S_([0-9]{13})(?![0-9])", 1)
     return rows.withColumn("article", F.when(article != "", article))
 
 
-def known_lines(rows: DataFrame) -> DataFrame:
-    """rows with column ``line`` filled from description, bare words that the corpus has as lines, and names that go with one line."""
-    lined = rows.withColumn("own", F.coalesce("line", "told"))
-    known = lined.filter("own is not null").select(F.col("own").alias("word")).distinct()
-    bare = lined.filter("own is null").select("sku_id", F.posexplode("words").alias("at", "word")).join(known, "word").groupBy("sku_id").agg(F.min_by("word", "at").alias("bare"))
-    lined = lined.join(bare, "sku_id", "left").withColumn("own", F.coalesce("own", "bare"))
-    pairs = lined.filter("own is not null").select(F.explode("names").alias("name"), "own").groupBy("name", "own").agg(F.count("*").alias("n"))
-    stands = pairs.groupBy("name").agg(F.max_by("own", F.struct("n", "own")).alias("stands"), F.max("n").alias("most"), F.sum("n").alias("all")).filter(F.col("most") >= ALIAS_SHARE * F.col("all")).select("name", "stands", "most")
-    named = lined.filter("own is null").select("sku_id", F.explode("names").alias("name")).join(stands, "name").groupBy("sku_id").agg(F.max_by("stands", F.struct("most", "stands")).alias("stands"))
-    return lined.join(named, "sku_id", "left").withColumn("line", F.coalesce("own", "stands")).drop("own", "told", "bare", "stands", "words", "names")
-
-
-def made_amounts(rows: DataFrame) -> DataFrame:
-    """(uom, qty, made): each amount with the most frequent one within SPREAD of it. Buckets of that width meet their neighbours."""
-    counts = rows.filter("qty > 0").groupBy("uom", "qty").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.log("qty") / SPREAD))
-    other = counts.select("uom", F.col("qty").alias("made"), F.col("n").alias("votes"), F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])).alias("bin"))
-    near = counts.join(other, ["uom", "bin"]).filter(F.abs(F.log(F.col("qty") / F.col("made"))) <= SPREAD)
-    return near.groupBy("uom", "qty").agg(F.max_by("made", F.struct("votes", F.col("made"))).alias("made"))
-
-
-ATTRIBUTES = ("line", "scent", "kind", "made")
-
-
-def _combination(names: tuple[str, ...]):
-    return F.concat_ws("␟", F.lit("+".join(names)), *[F.col(n) for n in names])
-
-
-def products(rows: DataFrame) -> DataFrame:
-    """(sku_id, product): the product of every listing that has one, product being a combination of its four attributes."""
-    full = F.col("line").isNotNull() & F.col("scent").isNotNull() & F.col("kind").isNotNull() & F.col("made").isNotNull()
-    complete = rows.filter(full).withColumn("product", _combination(ATTRIBUTES))
-    partial = rows.filter(~full)
-    stock = complete.groupBy("product", *ATTRIBUTES).agg(F.count("*").alias("votes"), F.avg("position").alias("position"))
-    # combinations of fewer tokens, each with the products that hold it; at least two attributes, of which the line or three others
-    smaller = [("line", "scent", "kind"), ("line", "scent", "made"), ("line", "kind", "made"), ("scent", "kind", "made"), ("line", "scent"), ("line", "kind"), ("line", "made")]
-    voted = stock.select("product", *ATTRIBUTES, "votes", "position", F.explode(F.array(*[F.struct(_combination(c).alias("combination"), F.lit(len(c)).alias("k")) for c in smaller])).alias("c")).select("product", "votes", "position", "c.combination", "c.k")
-    by_code = complete.filter("code is not null").select("product", F.lit(1).alias("votes"), "position", F.concat(F.lit("code "), "code").alias("combination"), F.lit(4).alias("k"))
-    by_article = complete.filter("article is not null").select("product", F.lit(1).alias("votes"), "position", F.concat(F.lit("article "), "article").alias("combination"), F.lit(4).alias("k"))
-    voted = voted.unionByName(by_code).unionByName(by_article)
-    # verification: all products that hold the combination are one
-    single = voted.groupBy("combination", "k").agg(F.min("product").alias("product"), F.max("product").alias("other"), F.sum("votes").alias("votes"), F.avg("position").alias("position")).filter("product = other").drop("other")
-    # a title's own largest combination, its code and its article number
-    own = F.coalesce(*[F.when(F.greatest(*[F.col(n).isNull().cast("int") for n in c]) == 0, _combination(c)) for c in smaller])
-    mine = F.filter(F.array(own, F.concat(F.lit("code "), "code"), F.concat(F.lit("article "), "article")), lambda c: c.isNotNull())
-    asked = partial.select("sku_id", *[F.col(a).alias(f"own_{a}") for a in ATTRIBUTES], F.explode(mine).alias("combination"))
-    score = F.col("k") * F.log1p("votes") * (1.5 - F.col("position"))
-    found = asked.join(single, "combination").join(stock.select("product", *ATTRIBUTES), "product")
-    for a in ATTRIBUTES:  # none of the title's own tokens speaks against it
-        found = found.filter(F.coalesce(F.col(f"own_{a}") == F.col(a), F.lit(True)))
-    best = found.groupBy("sku_id").agg(F.max_by("product", F.struct(score, "product")).alias("product"))
-    return complete.select("sku_id", "product").unionByName(best)
+def segment(run: str, counts: dict[str, int], affixes: dict[str, int], total: int) -> list[str]:
+    """A run of ideographs as the likeliest sequence of units. counts: how many listings have each part of the run as a run of its own.
+
+    A unit of four and more ideographs that commoner units make up, or that ends in an affix, is none; an unknown stretch is one unit.
+    """
+    known = {w: n for w, n in counts.items() if n >= SUPPORT or w in affixes}
+
+    def best(x: str, whole: bool) -> list[str]:
+        score, back = [0.0] + [-math.inf] * len(x), [0] * (len(x) + 1)
+        for i in range(len(x)):
+            for j in range(i + 1, len(x) + 1 if i == 0 and len(x) > UNIT else min(len(x), i + UNIT) + 1):
+                w = x[i:j]
+                if w == x and not whole:
+                    continue
+                s = score[i] + (math.log(known[w] / total) if w in known else -20 - 2 * (j - i))
+                if s > score[j]:
+                    score[j], back[j] = s, i
+        out, j = [], len(x)
+        while j:
+            out.append(x[back[j] : j])
+            j = back[j]
+        return out[::-1]
+
+    for w in sorted(known, key=lambda w: (len(w), w)):
+        if len(w) >= 4 and w not in affixes:
+            parts = best(w, False)
+            if all(p in known and known[p] >= known[w] for p in parts) or any(w.endswith(a) and len(w) > len(a) + 1 for a in affixes):
+                del known[w]
+    return best(run, True)
+
+
+def segmented(runs: DataFrame, affixes: dict[str, int], total: int) -> DataFrame:
+    """(run, units) of the runs of four and more ideographs; shorter ones are units. ``runs`` has run and n."""
+
+    @F.pandas_udf("array<string>")
+    def cut_up(run: pd.Series, parts: pd.Series) -> pd.Series:
+        out = []
+        for r, ps in zip(run, parts, strict=True):
+            counts = {p["part"]: p["n"] for p in ps}
+            out.append(segment(r, counts | {a: counts.get(a, 0) + n for a, n in affixes.items() if a in r}, affixes, total))
+        return pd.Series(out)
+
+    long = runs.filter(F.length("run") >= 4)
+    sizes = F.sequence(F.lit(2), F.least(F.length("run"), F.lit(UNIT)))
+    # a lambda's parameter is used for the inner one's bounds, so both are spelled out
+    spans = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substring("run", i, k))))
+    parts = long.select("run", F.explode(F.array_distinct(spans)).alias("part"))
+    counts = runs.filter((F.length("run") <= UNIT) & (F.col("n") >= SUPPORT)).select(F.col("run").alias("part"), "n")
+    met = parts.join(counts, "part").groupBy("run").agg(F.collect_list(F.struct("part", "n")).alias("parts"))
+    empty = F.array().cast("array<struct<part: string, n: bigint>>")
+    return long.join(met, "run", "left").select("run", "n", cut_up("run", F.coalesce("parts", empty)).alias("units"))
+
+
+def lexicon(rows: DataFrame, total: int) -> tuple[DataFrame, dict[str, int], frozenset[str]]:
+    """(runs with units, affixes, phrases). Affixes and phrases are bounded: a run has three endings, a title so many pairs of words."""
+    pieces = rows.select("sku_id", F.explode(F.array_distinct("pieces")).alias("piece"))
+    runs = pieces.filter(F.col("piece").rlike(f"^[{_HAN}]")).groupBy(F.col("piece").alias("run")).agg(F.count("*").alias("n"))
+    runs = cut(runs)
+    kinds = runs.count()
+    ends = runs.filter(F.length("run") >= 3).select("run", F.explode(F.array(*[F.when(F.length("run") >= k + 2, F.struct(F.right("run", F.lit(k)).alias("end"), F.expr(f"left(run, length(run) - {k})").alias("stem"))) for k in (1, 2, 3, 4)])).alias("x")).select("x.end", "x.stem")
+    stems = ends.filter("end is not null").join(runs.select(F.col("run").alias("stem")), "stem")
+    found = stems.groupBy("end").agg(F.count("*").alias("n")).filter(F.col("n") >= max(LEAST, AFFIX * kinds)).collect()
+    affixes = {r.end: r.n for r in found}
+    words = rows.select(F.explode(F.array_distinct(F.flatten(F.transform("pieces", _words_and_pairs)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = cut(words.filter(F.col("n") >= SUPPORT))
+    pairs = words.filter(F.contains("w", F.lit(" ")) & (F.col("n") >= max(5, FREQUENT * total / 4))).select("w", "n", F.element_at(F.split("w", " "), 1).alias("a"), F.element_at(F.split("w", " "), 2).alias("b"))
+    single = words.filter(~F.contains("w", F.lit(" ")))
+    pairs = pairs.join(single.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(single.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b")
+    sought = F.log(F.col("n") * total / F.col("na") / F.col("nb")) / -F.log(F.col("n") / total)
+    phrases = frozenset(r.w for r in pairs.filter((F.col("n") < total) & (sought >= 0.4)).select("w").collect())
+    units = cut(segmented(runs, affixes, total))
+    forget(words, runs)
+    return units, affixes, phrases
+
+
+def _words_and_pairs(piece: Column) -> Column:
+    words = F.filter(F.split(piece, " "), lambda w: w.rlike(f"^[{_LATIN}]"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.when(F.size(words) > 1, F.concat_ws(" ", F.element_at(words, i), F.try_element_at(words, i + 1))))
+    return F.filter(F.concat(words, pairs), lambda w: w.isNotNull())
+
+
+TOKENS = "tokens array<struct<w: string, at: int, marked: boolean>>"
+
+
+def tokens(rows: DataFrame, units: DataFrame, affixes: dict[str, int], phrases: frozenset[str], total: int) -> DataFrame:
+    """rows with the distinct tokens of each title: position among the pieces, and whether an affix followed.
+
+    Units of frequent runs, a bounded number, go to the tasks as they are; only rare long runs meet their units in a join, so no key is hot.
+    """
+    often = FREQUENT * total
+    common = {r.run: r.units for r in units.filter(F.col("n") >= often).select("run", "units").collect()}
+    long = F.filter(F.array_distinct("pieces"), lambda p: (F.length(p) >= 4) & p.rlike(f"^[{_HAN}]"))
+    met = rows.select("sku_id", F.explode(long).alias("run")).join(units.filter(F.col("n") < often).select("run", "units"), "run").groupBy("sku_id").agg(F.collect_list(F.struct("run", "units")).alias("found"))
+
+    @F.pandas_udf("array<struct<w: string, at: int, marked: boolean>>")
+    def cut_up(pieces: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for ps, own in zip(pieces, found, strict=True):
+            units_of = {x["run"]: list(x["units"]) for x in own} if own is not None else {}
+            got: dict[str, list] = {}
+            for at, p in enumerate(ps):
+                if p[0] >= "㐀":
+                    ws = units_of.get(p) or common.get(p) or [p]
+                else:
+                    ws, parts, i = [], p.split(), 0
+                    while i < len(parts):
+                        both = " ".join(parts[i : i + 2])
+                        k = 2 if both in phrases and i + 1 < len(parts) else 1
+                        ws.append(" ".join(parts[i : i + k]))
+                        i += k
+                for k, w in enumerate(ws):
+                    if len(w) > 1 and w not in affixes and w not in _UNITS:
+                        x = got.setdefault(w, [at, False])
+                        x[1] = x[1] or (k + 1 < len(ws) and ws[k + 1] in affixes)
+            out.append([{"w": w, "at": at, "marked": marked} for w, (at, marked) in got.items()])
+        return pd.Series(out)
+
+    return rows.join(met, "sku_id", "left").withColumn("tokens", cut_up("pieces", "found")).drop("pieces", "found")
+
+
+# -- 2. attributes
+
+
+def _met(frequent: dict[str, int]):
+    """Partial counts of (kind, a, b, n): 'd' title's token a beside the description's b, 't' two tokens of one title; -1 stands for all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, size = automaton(frequent), len(frequent) + 1
+        sums: dict[str, dict[int, int]] = {"d": {}, "t": {}}
+        for b in batches:
+            keys = {"d": [], "t": []}
+            for ws, about in zip(b["ws"], b["about"], strict=True):
+                own = [frequent[w] for w in ws if w in frequent]
+                keys["t"] += [x * size + y for x in own for y in own]
+                if about:
+                    told = list({v for *_, v in scan(known, about)}) + [size - 1]
+                    keys["d"] += [x * size + y for x in [*own, size - 1] for y in told]
+            for kind, ks in keys.items():
+                for k, n in zip(*np.unique(np.array(ks, np.int64), return_counts=True), strict=True):
+                    sums[kind][int(k)] = sums[kind].get(int(k), 0) + int(n)
+        rows = [(kind, k // size, k % size, n) for kind, s in sums.items() for k, n in s.items()]
+        yield pd.DataFrame([(kind, -1 if a == size - 1 else a, -1 if b == size - 1 else b, n) for kind, a, b, n in rows], columns=["kind", "a", "b", "n"])
+
+    return run
+
+
+def classes_of(words: list[str], deviations: list[tuple[int, int, float]], dims: int) -> list[list[int]]:
+    """Groups of tokens whose deviations point the same way: average linkage of their directions, the most alike first."""
+    who = sorted({a for a, _, _ in deviations})
+    if not who:
+        return []
+    at = {a: k for k, a in enumerate(who)}
+    v = np.zeros((len(who), dims), np.float32)
+    for a, b, r in deviations:
+        v[at[a], b] = r
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    likeness = (v @ v.T).astype(np.float64)
+    size, members = np.ones(len(who)), [[a] for a in who]
+    while True:
+        mean = np.where(np.outer(size, size) > 0, likeness / np.maximum(np.outer(size, size), 1), -1)
+        np.fill_diagonal(mean, -1)
+        i, j = np.unravel_index(mean.argmax(), mean.shape)
+        if mean[i, j] < LIKENESS:
+            return [m for m in members if m]
+        likeness[i] += likeness[j]
+        likeness[:, i] += likeness[:, j]
+        size[i], size[j] = size[i] + size[j], 0
+        members[i], members[j] = members[i] + members[j], []
+
+
+def attributes(rows: DataFrame, total: int) -> tuple[dict[str, tuple[int, int]], frozenset[str]]:
+    """(token -> (attribute, class), frequent tokens that are no names). Both are bounded, see FREQUENT; nothing else reaches the driver.
+
+    A frequent token that descriptions follow but that belongs to no attribute is left to the names. A corpus too small for LEAST has no attributes.
+    """
+    counts = rows.select(F.explode("tokens.w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(LEAST, FREQUENT * total))
+    frequent = {r.w: (k, r.n) for k, r in enumerate(counts.orderBy(F.desc("n"), "w").collect())}
+    words = list(frequent)
+    if not words:
+        return {}, frozenset()
+    met = rows.select(F.col("tokens.w").alias("ws"), "about").mapInPandas(_met({w: k for w, (k, _) in frequent.items()}), "kind string, a int, b int, n bigint")
+    met = cut(met.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    told = met.filter("kind = 'd'")
+    beside = {(r.a, r.b): r.n for r in told.filter("a < 0 or b < 0").collect()}
+    described = beside.get((-1, -1), 0)
+    one = rows.sparkSession.createDataFrame([(a, n) for (a, b), n in beside.items() if b < 0 <= a] or [(0, 0)], "a int, na bigint")
+    two = rows.sparkSession.createDataFrame([(b, n) for (a, b), n in beside.items() if a < 0 <= b] or [(0, 0)], "b int, nb bigint")
+    chance = F.col("na") * F.col("nb") / F.lit(float(max(described, 1)))
+    strong = told.filter("a >= 0 and b >= 0").join(one, "a").join(two, "b").withColumn("r", (F.col("n") - chance) / F.sqrt(F.greatest(chance, F.lit(0.5)))).withColumn("lift", F.log(F.col("n") / chance))
+    strong = strong.filter(F.abs("r") >= 2).select("a", "b", "r", "lift").collect()
+    telling = {x.a for x in strong if x.r >= DEVIATION and x.lift >= EFFECT}
+    groups = classes_of(words, [(x.a, x.b, x.r) for x in strong if x.a in telling], len(words))
+    of = {a: k for k, g in enumerate(groups) for a in g}
+    together = np.zeros((len(groups), len(groups)))
+    if of:
+        for r in met.filter("kind = 't'").filter(F.col("a").isin(sorted(of)) & F.col("b").isin(sorted(of))).collect():
+            together[of[r.a], of[r.b]] += r.n
+    forget(met)
+    size = np.array([sum(frequent[words[a]][1] for a in g) for g in groups], float)
+    slots: list[list[int]] = []
+    for k in sorted(range(len(groups)), key=lambda k: (-size[k], k)):
+        ratio = []
+        for s, slot in enumerate(slots):
+            by_chance = size[k] * size[slot].sum() / total
+            if by_chance >= 3 and together[k, slot].sum() <= EXCLUSIVE * by_chance:
+                ratio.append((together[k, slot].sum() / by_chance, s))
+        if ratio:
+            slots[min(ratio)[1]].append(k)
+        else:
+            slots.append([k])
+    kept = [s for s in slots if len(s) > 1 and size[s].sum() >= REACH * total]
+    return {words[a]: (s, k) for s, slot in enumerate(kept) for k in slot for a in groups[k]}, frozenset(words) - {words[a] for s in slots if s not in kept for k in s for a in groups[k]}
+
+
+def _describe(attribute: dict[str, tuple[int, int]], frequent: frozenset[str], slots: int):
+    """(values, stated, names, windows): classes by attribute from title, else description; which the title states; rare tokens with position, mark and
+    whether the description repeats them; and, where it repeats none, stretches of the description that may be a line."""
+
+    @F.pandas_udf("struct<vs: array<int>, early: double, names: array<struct<w: string, at: int, marked: boolean, told: boolean>>, windows: array<string>>")
+    def run(tokens: pd.Series, about: pd.Series) -> pd.DataFrame:
+        known = automaton({w: k for k, w in enumerate(attribute)})
+        where = list(attribute.values())
+        fill = automaton({w: 0 for w in frequent})
+        out = []
+        for ws, d in zip(tokens, about, strict=True):
+            title: list[set] = [set() for _ in range(slots)]
+            first, names = [], []
+            for x in ws:
+                if x["w"] in attribute:
+                    s, k = attribute[x["w"]]
+                    title[s].add(k)
+                    first.append(x["at"])
+                elif x["w"] not in frequent:
+                    names.append({"w": x["w"], "at": x["at"], "marked": bool(x["marked"]), "told": bool(d) and x["w"] in d})
+            told: list[set] = [set() for _ in range(slots)]
+            if d and not all(len(t) == 1 for t in title):
+                for *_, v in scan(known, d):
+                    told[where[v][0]].add(where[v][1])
+            values = [next(iter(t)) if len(t) == 1 else next(iter(t & o or o)) if len(t & o or o) == 1 else None for t, o in zip(title, told, strict=True)]
+            windows: list[str] = []
+            if d and not any(x["told"] or x["marked"] for x in names):
+                for run in _RUN.findall(blank(d, scan(fill, d))):
+                    for n in range(2, min(len(run), 6) + 1):
+                        windows += [run[:n], run[-n:]]
+            out.append((values, min(first, default=9) / 10.0, names, list(dict.fromkeys(windows))))
+        return pd.DataFrame(out, columns=["vs", "early", "names", "windows"])
+
+    return run
+
+
+# -- 3. names
+
+
+def with_lines(rows: DataFrame) -> DataFrame:
+    """rows (sku_id, names, windows, ...) with line and family."""
+    said = rows.select("sku_id", F.explode("names").alias("x"), (F.length("about") > 0).alias("described")).select("sku_id", "x.*", "described")
+    stats = said.groupBy("w").agg(F.count("*").alias("n"), F.count_if("told").alias("told_n"), F.count_if("marked").alias("marked_n"), F.count_if("described").alias("described_n"))
+    known = stats.filter((F.col("told_n") + F.col("marked_n") >= 1) & (F.col("told_n") + F.col("marked_n") >= 0.05 * F.col("described_n"))).select("w", "n", (F.col("marked_n") > 0).alias("line_for_sure"))
+    own = cut(said.join(known, "w").select("sku_id", "w", "n", "line_for_sure", "at", "told", "marked"))
+    # a token without affix that stands with each of two and more rarer names again and again is a family
+    other = own.select("sku_id", F.col("w").alias("v"), F.col("n").alias("vn"))
+    families = own.join(other, "sku_id").filter("w <> v and vn < n and not line_for_sure").groupBy("w", "v").agg(F.count("*").alias("times")).filter("times >= 2").groupBy("w").agg(F.count("*").alias("lines")).filter("lines >= 2").select("w")
+    families = cut(families)
+    lines = known.join(families, "w", "left_anti")
+    choice = F.struct(F.when(F.col("told"), 0).otherwise(1), F.when(F.col("marked"), 0).otherwise(1), "n", "at", "w")
+    line = own.join(families, "w", "left_anti").groupBy("sku_id").agg(F.min_by("w", choice).alias("line"))
+    family = own.join(families, "w", "left_semi").groupBy("sku_id").agg(F.min_by("w", F.struct("at", "w")).alias("family"))
+    rows = rows.join(line, "sku_id", "left").join(family, "sku_id", "left")
+    # lines that only the description has
+    asked = rows.filter("line is null").select("sku_id", F.explode("windows").alias("w")).join(lines, "w")
+    heard = asked.groupBy("sku_id").agg(F.max_by("w", F.struct(F.length("w"), "n", "w")).alias("heard"))
+    rows = rows.join(heard, "sku_id", "left").withColumn("line", F.coalesce("line", "heard")).drop("heard", "windows")
+    # names that go with one line, in titles that also show it or whose description does
+    pairs = rows.filter("line is not null").select("line", F.explode("names.w").alias("name")).filter("name <> line").groupBy("name", "line").agg(F.count("*").alias("n"))
+    stands = pairs.groupBy("name").agg(F.max_by("line", F.struct("n", "line")).alias("stands"), F.max("n").alias("most"), F.sum("n").alias("all")).filter(F.col("most") >= ALIAS * F.col("all")).join(families, F.col("name") == F.col("w"), "left_anti").select("name", "stands", "most")
+    rows = cut(rows)
+    named = rows.select("sku_id", F.col("line").alias("shown"), F.explode("names.w").alias("name")).filter("shown is null or shown = name").join(stands, "name")
+    named = named.groupBy("sku_id").agg(F.max_by("stands", F.struct("most", "stands")).alias("stands"))
+    rows = rows.join(named, "sku_id", "left").withColumn("line", F.coalesce("stands", "line")).drop("stands")
+    # last, a repeated token about which descriptions tell nothing, where it is not one they had many chances to repeat
+    open_names = stats.filter(f"n >= 2 and told_n + marked_n = 0 and described_n < {UNTOLD}").select("w", "n")
+    guess = rows.filter("line is null").select("sku_id", F.explode("names").alias("x")).select("sku_id", "x.w", "x.at").join(open_names, "w").groupBy("sku_id").agg(F.max_by("w", F.struct("n", -F.col("at"), "w")).alias("guess"))
+    return rows.join(guess, "sku_id", "left").withColumn("line", F.coalesce("line", "guess")).drop("guess", "names")
+
+
+# -- 4. amounts
+
+
+def with_made(rows: DataFrame) -> DataFrame:
+    """rows with ``made``: the amount in whole base units, an inexact one being the nearest exact one of its line, else the commonest near one of the corpus."""
+    rows = rows.withColumn("exact", F.col("error") <= 0.5).withColumn("whole", F.round("qty").cast("bigint")).withColumn("near", F.greatest(F.col("error") / F.col("qty"), F.when(F.col("imperial"), SPREAD).otherwise(0.0)))
+    counts = rows.filter("exact and whole > 0").groupBy("line", "uom", "whole").agg(F.count("*").alias("votes"))
+    loose = rows.filter("not exact and qty > 0").select("line", "uom", "qty", "near").distinct()
+    gap = F.abs(F.log(F.col("qty") / F.col("amount")))
+    of_line = loose.join(counts.filter("line is not null").select("line", "uom", F.col("whole").alias("amount"), "votes"), ["line", "uom"]).filter(gap <= F.col("near") + 1e-9)
+    of_line = of_line.groupBy("line", "uom", "qty", "near").agg(F.min_by("amount", F.struct(gap, -F.col("votes"), "amount")).alias("made_here"))
+    # buckets as wide as the widest error meet their neighbours
+    wide = F.floor(F.log("qty") / SPREAD)
+    everywhere = counts.groupBy("uom", "whole").agg(F.sum("votes").alias("votes")).select("uom", F.col("whole").alias("amount"), "votes", F.floor(F.log("whole") / SPREAD).alias("bin"))
+    amounts = loose.select("uom", "qty", "near").distinct().withColumn("bin", F.explode(F.array(wide - 1, wide, wide + 1)))
+    common = amounts.join(everywhere, ["uom", "bin"]).filter(gap <= F.least(F.col("near"), F.lit(SPREAD)) + 1e-9).groupBy("uom", "qty", "near").agg(F.max_by("amount", F.struct("votes", -gap, "amount")).alias("made_anywhere"))
+    key = ["uom", "qty", "near"]
+    out = rows.join(of_line, ["line", *key], "left").join(common, key, "left")
+    return out.withColumn("made", F.when(F.col("exact"), F.col("whole")).otherwise(F.coalesce("made_here", "made_anywhere", "whole"))).drop("made_here", "made_anywhere", "near", "exact", "whole", "error", "imperial")
+
+
+# -- 5. voting
+
+
+def _key(columns: list[str]) -> Column:
+    """A 64-bit name of a combination: which tokens it has, and which values."""
+    return F.xxhash64(F.lit("+".join(columns)), *columns)
+
+
+def _subsets(others: list[str]) -> list[list[str]]:
+    """The k-combinations that may name a product: the line with any other tokens, with and without the brand, and where three more tokens are learned the brand with all of them."""
+    core = [["line", *c] for k in range(1, len(others) + 1) for c in combinations(others, k)]
+    return [[*b, *c] for c in core for b in ([], ["brand"])] + [["brand", "line"]] + ([["brand", *others]] if len(others) > 2 else [])
+
+
+def _has(columns: list[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
+def products(rows: DataFrame, others: list[str]) -> DataFrame:
+    """(sku_id, product) from sku_id, brand, line, ``others``, code, article and early."""
+    names = ["brand", "line", *others]
+    subsets = _subsets(others)
+    rows = rows.withColumn("tuple", F.xxhash64(*[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names], *[F.col(n).isNull() for n in names]))
+    stock = cut(rows.groupBy("tuple").agg(*[F.first(n).alias(n) for n in names], F.count("*").alias("votes"), F.avg("early").alias("early")))
+    links = cut(rows.select("tuple", F.explode(F.array(F.concat(F.lit("code "), "code"), F.concat(F.lit("article "), "article"))).alias("link")).filter("link is not null").distinct())
+
+    def vote(anchors: DataFrame, asking: DataFrame, proper: bool) -> DataFrame:
+        """(tuple, product): each asking tuple's best combination that holds one anchor only and that none of its own tokens speaks against."""
+        made = F.array(*[F.when(_has(c) & (F.lit(not proper) | ~_only(c)), F.struct(_key(c).alias("c"), F.lit(len(c)).alias("k"))) for c in subsets])
+
+        def with_links(t: DataFrame) -> DataFrame:
+            own = t.join(links, "tuple").select("tuple", "votes", "early", F.xxhash64("link").alias("c"), F.lit(len(names)).alias("k"))
+            return t.select("tuple", "votes", "early", F.explode(made).alias("x")).filter("x is not null").select("tuple", "votes", "early", "x.c", "x.k").unionByName(own)
+
+        held = with_links(anchors).groupBy("c", "k").agg(F.min("tuple").alias("product"), F.max("tuple").alias("last"), F.sum("votes").alias("f"), F.avg("early").alias("p")).filter("product = last")
+        every = F.array(*[F.when(_has(c), F.struct(_key(c).alias("c"), F.lit(len(c)).alias("k"))) for c in subsets])
+        mine = asking.select("tuple", F.explode(every).alias("x")).filter("x is not null").select("tuple", "x.c").unionByName(asking.join(links, "tuple").select("tuple", F.xxhash64("link").alias("c")))
+        found = mine.join(held, "c").filter("product <> tuple").select("tuple", "product", (F.col("k") * F.log1p("f") * (1.5 - F.col("p"))).alias("score"))
+        found = found.join(asking.select("tuple", *[F.col(n).alias(f"own_{n}") for n in names]), "tuple").join(anchors.select(F.col("tuple").alias("product"), *names), "product")
+        for n in names:
+            found = found.filter(F.coalesce(F.col(f"own_{n}") == F.col(n), F.lit(True)))
+        return found.groupBy("tuple").agg(F.max_by("product", F.struct("score", "product")).alias("product"))
+
+    def _only(columns: list[str]) -> Column:
+        """The tuple has no other token than these."""
+        out = F.lit(True)
+        for n in names:
+            if n not in columns:
+                out = out & F.col(n).isNull()
+        return out
+
+    full = _has(names)
+    whole = stock.filter(full)
+    first = cut(vote(whole, stock.filter(~full), False))
+    left = stock.filter(~full).join(first, "tuple", "left_anti")
+    # no listing of theirs has all tokens: those with all but the brand are products, the rest votes among what is left
+    unbranded = _has(["line", *others])
+    second = cut(vote(left.filter(unbranded), left.filter(~unbranded), False))
+    rest = left.filter(~unbranded).join(second, "tuple", "left_anti")
+    third = cut(vote(rest, rest, True))
+    named = first.unionByName(second).unionByName(third)
+    enough = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0)) >= min(3, len(names))
+    own = stock.filter(enough & F.col("line").isNotNull()).join(named, "tuple", "left_anti").select("tuple", F.col("tuple").alias("product"))
+    # what a tuple of the rest joins may itself have joined another
+    above = named.select(F.col("tuple").alias("product"), F.col("product").alias("above"))
+    named = named.join(above, "product", "left").select("tuple", F.coalesce("above", "product").alias("product"))
+    return rows.select("sku_id", "tuple").join(named.unionByName(own), "tuple").select("sku_id", "product")
+
+
+def listing_tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(sku_id, brand, line, one column for each learned attribute, made, code, article, early) of every listing, and the attributes' names."""
+    read = cut(read_listings(listings, brand_ref, unit_ref))
+    total = read.count()
+    units, affixes, phrases = lexicon(read, max(total, 1))
+    rows = cut(tokens(read, units, affixes, phrases, max(total, 1)))
+    forget(read, units)
+    attribute, frequent = attributes(rows, max(total, 1))
+    slots = max((s for s, _ in attribute.values()), default=-1) + 1
+    words = F.array_join(F.array_sort("tokens.w"), " ").alias("words")  # where no attribute is learned, only titles of equal words are one product
+    told = cut(rows.withColumn("d", _describe(attribute, frequent, slots)("tokens", "about")).select("sku_id", "entry", "shown", "uom", "qty", "error", "imperial", "code", "article", "about", words, "d.*"))
+    forget(rows)
+    lined = cut(with_lines(told).drop("about"))
+    forget(told)
+    if slots > 1 and lined.filter("line is not null").count() < REACH * total:
+        # few lines, each in many listings, are learned as values of the attribute with the most values
+        sizes = [len({k for t, k in attribute.values() if t == s}) for s in range(slots)]
+        most = sizes.index(max(sizes))
+        lined = lined.withColumn("line", F.col("vs")[most].cast("string")).withColumn("vs", F.concat(F.slice("vs", 1, most), F.slice("vs", most + 2, slots)))
+        slots -= 1
+    entered = lined.filter((F.size("shown") != 1) & F.col("entry").isNotNull()).select("entry").distinct()
+    brands = resolve(entered, "entry", brand_ref).filter("brand_id <> 0").select(F.col("raw").alias("entry"), "brand_id")
+    lined = lined.join(brands, "entry", "left")
+    brand = F.when(F.size("shown") == 1, F.col("shown")[0].cast("string")).otherwise(F.coalesce(F.when((F.size("shown") == 0) | F.array_contains("shown", F.col("brand_id")), F.col("brand_id").cast("string")), "family"))
+    out = with_made(lined.withColumn("brand", brand))
+    values = [f"attribute_{s}" for s in range(slots)]
+    out = out.select("sku_id", "brand", F.col("line" if attribute else "words").alias("line"), *[F.col("vs")[s].alias(v) for s, v in enumerate(values)], F.when(F.col("made").isNotNull(), F.concat(F.col("made").cast("string"), F.lit(" "), F.col("uom"))).alias("made"), "code", "article", "early")
+    return out, [*values, "made"]
 
 
 def listing_products(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> DataFrame:
     """(sku_id, product) of all listings whose product can be told; see p5_found for pairs."""
-    rows = cut(tokens(listings, brand_ref, unit_ref))
-    rows = known_lines(rows)
-    rows = rows.join(made_amounts(rows), ["uom", "qty"], "left").withColumn("made", F.when(F.col("made").isNotNull(), F.concat(F.col("made").cast("bigint"), F.lit(" "), F.col("uom"))))
-    return products(cut(rows))
+    rows, others = listing_tokens(listings, brand_ref, unit_ref)
+    return products(cut(rows), others)
 
 
 def p5_found(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> DataFrame:
@@ -227,7 +567,7 @@ def p5_found(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) ->
 
     The pairs are the result that is asked for; ``listing_products`` is the form without them.
     """
-    p = listing_products(listings, brand_ref, unit_ref)
+    p = cut(listing_products(listings, brand_ref, unit_ref))
     many = p.groupBy("product").agg(F.count("*").alias("n")).filter("n > 1").select("product")
     p = p.join(many, "product", "left_semi")
     return p.select("product", F.col("sku_id").alias("sku_a")).join(p.select("product", F.col("sku_id").alias("sku_b")), "product").filter("sku_a < sku_b").select("sku_a", "sku_b")
