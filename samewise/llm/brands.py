@@ -2,17 +2,19 @@
 
 1. Distinct entries are brought to their reading form and case-folded, decorations (shop words,
    company endings, marks, the list's own countries) are taken off, and the rest is cut into tokens:
-   runs of Latin letters and digits, and runs of ideographs. All tokens of a script run together are
-   one more token, so that lost or added blanks do no harm.
+   runs of Latin letters and digits, and runs of ideographs. Neighbouring tokens run together are
+   tokens too, which span several places, so that lost or added blanks do no harm.
 2. Each distinct token is joined to the vocabulary of the reference by edit distance: the deletion
-   neighbourhoods of radius 1 of both sides meet in an equi-join (complete for one edit and for a
-   swap of neighbours), then the distance is computed.
-3. Entries and names meet on their corrected tokens; soft TF-IDF (the weights of the common tokens
-   times their similarities, over both lengths) ranks the names, the best above a threshold wins.
+   neighbourhoods of both sides meet in an equi-join (complete for one edit and for a
+   swap of neighbours, and for two edits from ``FAR`` letters on), then the distance is computed.
+3. Entries and names meet on their corrected tokens; soft TF-IDF (each place of the entry and of the name
+   counts its weight times the best likeness that covers it, over both lengths) ranks the names, and the best
+   wins that covers most of the entry and half of the name, or the whole name where the rest of the
+   entry names nothing else. Words of no name weigh by how few entries have them.
 
 An ideograph is only corrected where the wrong one occurs in no name of the list: two names that
 differ in one ideograph of the list's own stock are different names. The same holds for a token
-that is itself in the vocabulary.
+that is itself in the vocabulary. Two edits only correct what is rare beside the word it becomes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.normal_form import reading_form
@@ -54,18 +56,12 @@ def one_script(text: str) -> str:
 
 
 def tokens_of(raw: str | None, places: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
-    """(script, token) of an entry: 'l' runs of Latin letters and digits, 'h' ideographs, 'L' all Latin ones run together.
-
-    Decorations are taken off, unless nothing else is left.
-    """
-    text = (reading_form(_MARKS.sub(" ", raw or "")) or "").casefold()
-    text = traditional(unicodedata.normalize("NFC", text))
+    """(script, token) of an entry in order: 'l' runs of Latin letters and digits, 'h' ideographs. Decorations are taken off, unless nothing else is left."""
+    text = _plain(raw)
     out: list[tuple[str, str]] = []
-    runs = [(m[0], text[m.end() : m.end() + 1] == ".") for m in _LATIN.finditer(text)]
+    runs = [(re.sub("['’]", "", m[0]), text[m.end() : m.end() + 1] == ".") for m in _LATIN.finditer(text)]
     plain = [t for t, dotted in runs if t not in _SHOP_LATIN and not (dotted and len(t) <= 3)] or [t for t, _ in runs]
     out += [("l", t) for t in dict.fromkeys(plain)]
-    if plain:
-        out.append(("L", "".join(plain)))
     for run in _HAN.findall(text):
         bare = run
         for word in sorted([*_SHOP_HAN, *places], key=lambda w: (-len(w), w)):
@@ -76,92 +72,157 @@ def tokens_of(raw: str | None, places: frozenset[str] = frozenset()) -> list[tup
     return list(dict.fromkeys(out))
 
 
+def _plain(raw: str | None) -> str:
+    text = (reading_form(_MARKS.sub(" ", raw or "")) or "").casefold()
+    return traditional(unicodedata.normalize("NFC", text))
+
+
 _MARKS = re.compile("[™®©℠]")  # NFKC would glue them to the name as letters
-_LATIN = re.compile(r"[0-9a-z\u00df-\u00f6\u00f8-\u017f]+")
+_LATIN = re.compile(r"[0-9a-z\u00df-\u00f6\u00f8-\u017f]+(?:['’][0-9a-z\u00df-\u00f6\u00f8-\u017f]+)*")
 _HAN = re.compile(r"[\u3400-\u4dbf\u4e00-\u9fff]+")
 _SHOP_HAN = frozenset(DECORATIONS_HAN.translate(_UNSIMPLIFY).split()) | frozenset(DECORATIONS_HAN.split())
 _SHOP_LATIN = frozenset(DECORATIONS_LATIN.split())
+#: Letters from which a token may be two edits from its word, and how much rarer than the word it must be then.
+FAR, RARER = 8, 0.1
+#: Of the entry's weight and of the name's that must be met; or the whole name and this share of the entry.
+COVER, NAMED, WHOLE, REST = 0.85, 0.5, 0.999, 0.3
+
+
+def _spans(tokens: list[tuple[str, str]], longest: int) -> list[dict]:
+    """Tokens and neighbouring ones run together, up to the vocabulary's longest word: script, token, first and last place."""
+    out = []
+    for script in ("l", "h"):
+        own = [t for s, t in tokens if s == script]
+        for i in range(len(own)):
+            joined = ""
+            for j in range(i, len(own)):
+                joined += own[j]
+                if j > i and len(joined) > longest:
+                    break
+                out.append({"kind": script, "token": joined, "a": i, "b": j})
+    return out
 
 
-def _tokens_column(places: frozenset[str]):
-    @F.pandas_udf("array<struct<kind: string, token: string>>")
-    def cut_up(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: [{"kind": k, "token": t} for k, t in tokens_of(x, places)])
+SPANS = "array<struct<kind: string, token: string, a: int, b: int>>"
 
-    return cut_up
 
+def _mapped(function, schema: str):
+    """A vectorised column function of one text."""
 
-def _neighbourhood(df: DataFrame, token: str, prefix: str) -> DataFrame:
-    """df with each token's own form (at 0) and its forms with one character deleted: columns form and ``prefix``_at."""
+    @F.pandas_udf(schema)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(function)
+
+    return run
+
+
+def _neighbourhood(df: DataFrame, token: str, prefix: str, twice: bool) -> DataFrame:
+    """df with each token's own form (at 0) and its forms with one character deleted (two where ``twice``): columns form and ``prefix``_at."""
     size = F.length(token)
-    deleted = F.when(size >= 3, F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, size)).alias("form"), i.alias("at")))).otherwise(F.array().cast("array<struct<form: string, at: int>>"))
+    without = lambda t, i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))
+    one = F.when(size >= 3, F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(without(F.col(token), i).alias("form"), i.alias("at")))).otherwise(F.array().cast("array<struct<form: string, at: int>>"))
     own = F.array(F.struct(F.col(token).alias("form"), F.lit(0).alias("at")))
-    return df.withColumn("d", F.explode(F.concat(own, deleted))).select("*", F.col("d.form").alias("form"), F.col("d.at").alias(f"{prefix}_at")).drop("d")
+    forms = F.concat(own, one)
+    if twice:
+        pairs = F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.transform(F.sequence(i, size - 1), lambda j: F.struct(without(without(F.col(token), i), j).alias("form"), F.lit(-1).alias("at")))))
+        forms = F.array_distinct(F.when(size >= FAR, F.concat(forms, pairs)).otherwise(forms))
+    return df.withColumn("d", F.explode(forms)).select("*", F.col("d.form").alias("form"), F.col("d.at").alias(f"{prefix}_at")).drop("d")
 
 
 def correct_tokens(tokens: DataFrame, vocabulary: DataFrame, stock: DataFrame | None = None, least: int = 4) -> DataFrame:
-    """(kind, token, word, sim): each distinct token with the vocabulary's words at most one edit (or swap) away.
+    """(kind, token, word, sim): each distinct token with the vocabulary's words at most one edit (or swap) away, two between words of FAR letters and more.
 
-    tokens and vocabulary have the columns kind and token / word. A token of the vocabulary is itself only. Latin tokens
-    shorter than ``least`` are never corrected; ideographs of three and more are, where the wrong one is not in the stock.
+    tokens and vocabulary have the columns kind and token / word; tokens may have n, the rows they stand in. A token of the vocabulary is itself only.
+    Latin tokens shorter than ``least`` are never corrected; ideographs of three and more are, where the wrong one is not in ``stock`` (kind, c).
+    Two edits away, a token of several rows must have at most RARER of the rows in which the word itself stands. Words that no length allows to meet are not paired.
     """
-    t, v = tokens.select("kind", "token").distinct(), vocabulary.select("kind", "word").distinct()
+    t = tokens.groupBy("kind", "token").agg((F.sum("n") if "n" in tokens.columns else F.lit(1)).alias("n"))
+    v = vocabulary.select("kind", "word").distinct()
+    own = t.select("kind", F.col("token").alias("word"), F.col("n").alias("word_n"))
     same = t.join(v.withColumn("token", F.col("word")), ["kind", "token"]).select("kind", "token", "word", F.lit(1.0).alias("sim"))
-    rest = t.join(v.withColumn("token", F.col("word")), ["kind", "token"], "left_anti").filter((F.length("token") >= F.when(F.col("kind") == "h", 2).otherwise(least)) & (F.length("token") <= 64))
-    a, b = _neighbourhood(rest, "token", "t"), _neighbourhood(v.filter(F.length("word") >= F.when(F.col("kind") == "h", 3).otherwise(least)), "word", "w")
-    swapped = (F.length("token") == F.length("word")) & (F.abs(F.col("t_at") - F.col("w_at")) == 1) & (F.substring("token", F.col("t_at"), F.lit(1)) == F.substring("word", F.col("w_at"), F.lit(1)))
-    near = a.join(b, ["kind", "form"]).filter((F.levenshtein("token", "word") <= 1) | ((F.col("kind") != "h") & swapped))
+    longest = v.agg(F.max(F.length("word")).alias("longest"))  # a token longer by over two edits than all words meets none
+    rest = t.join(v.withColumn("token", F.col("word")), ["kind", "token"], "left_anti").filter(F.length("token") >= F.when(F.col("kind") == "h", 2).otherwise(least)).crossJoin(F.broadcast(longest)).filter(F.length("token") <= F.col("longest") + 2).drop("longest")
+    words = v.join(own, ["kind", "word"], "left").filter(F.length("word") >= F.when(F.col("kind") == "h", 3).otherwise(least))
+    a, b = _neighbourhood(rest, "token", "t", True), _neighbourhood(words, "word", "w", True)
+    swapped = (F.length("token") == F.length("word")) & (F.abs(F.col("t_at") - F.col("w_at")) == 1) & (F.substring("token", F.col("t_at"), F.lit(1)) == F.substring("word", F.col("w_at"), F.lit(1))) & (F.col("t_at") > 0) & (F.col("w_at") > 0)
+    far = (F.col("kind") != "h") & (F.length("token") >= FAR) & (F.length("word") >= FAR) & ((F.col("n") <= 1) | (F.col("n") <= RARER * F.coalesce("word_n", F.lit(0))))
+    distance = F.levenshtein("token", "word")
+    near = a.join(b, ["kind", "form"]).withColumn("d", F.when((F.col("kind") != "h") & swapped, 1).otherwise(distance)).filter((F.col("d") <= 1) | ((F.col("d") == 2) & far))
     if stock is not None:
         # ideographs: only a substitution, by one that no name of the list has
-        known = F.broadcast(stock)  # one row
-        near = near.crossJoin(known).filter((F.col("kind") != "h") | ((F.length("token") == F.length("word")) & F.exists(F.split("token", ""), lambda c: ~F.array_contains(F.col("stock"), c)))).drop("stock")
-    near = near.select("kind", "token", "word", (1 - 0.5 / F.length("word")).alias("sim")).distinct()
+        replaced = (F.col("t_at") > 0) & (F.col("t_at") == F.col("w_at")) & (F.length("token") == F.length("word"))
+        han = near.filter((F.col("kind") == "h") & replaced).withColumn("c", F.substring("token", F.col("t_at"), F.lit(1))).join(stock, "c", "left_anti").drop("c")
+        near = near.filter("kind <> 'h'").unionByName(han)
+    near = near.groupBy("kind", "token", "word").agg(F.min("d").alias("d")).select("kind", "token", "word", (1 - 0.5 * F.col("d") / F.length("word")).alias("sim"))
     return same.unionByName(near)
 
 
-def resolve(entries: DataFrame, raw: str, brand_ref: DataFrame, cover: float = 0.85, named: float = 0.5) -> DataFrame:
+def _covered(places: str, met: str, first: str, last: str) -> Column:
+    """Each place's weight with the best likeness of a met token that covers it."""
+    best = lambda k: F.coalesce(F.array_max(F.transform(F.filter(met, lambda m: (m[first] <= k) & (m[last] >= k)), lambda m: m["sim"])), F.lit(0.0))
+    return F.transform(places, lambda w, k: F.struct((w * w).alias("w"), best(k).alias("sim")))
+
+
+def _sum(column: str, value) -> Column:
+    return F.aggregate(column, F.lit(0.0), lambda s, x: s + value(x))
+
+
+def resolve(entries: DataFrame, raw: str, brand_ref: DataFrame, cover: float = COVER, named: float = NAMED) -> DataFrame:
     """(raw, brand_id, score): the name of the list that each distinct entry names, 0 where it names none.
 
-    Both scripts of a name stand for it. Of the common tokens' weights at least ``cover`` of the entry's and ``named`` of the
-    name's must be met; among such names the best soft TF-IDF wins, ties go to the smaller id. Null entries have no row;
-    empty and blank ones name none.
+    Both scripts of a name stand for it. Of the weights at least ``cover`` of the entry's and ``named`` of the name's must be met, or the WHOLE name
+    and REST of the entry; among such names the best soft TF-IDF wins, ties go to the smaller id. Repeated rows of ``entries`` tell how common its
+    tokens are. Null entries have no row; empty and blank ones name none. The list may have any number of names and countries: they are only joined.
     """
     names = brand_ref.select("brand_id", F.explode(F.array("brand_canonical", "brand_alt")).alias("name")).filter("name is not null")
-    # the list of names is a code list of proven size, its countries are one small set
-    places = [r[0] for r in brand_ref.select("home_country").filter("home_country is not null").distinct().limit(1000).collect()] if "home_country" in brand_ref.columns else []
-    cut_up = _tokens_column(frozenset(places) | frozenset(p.translate(_UNSIMPLIFY) for p in places))
-    bare = _tokens_column(frozenset())
-    name_tokens = names.withColumn("t", F.explode(bare("name"))).select("brand_id", "name", F.col("t.kind").alias("kind"), F.col("t.token").alias("word")).withColumn("script", F.lower("kind")).distinct()
+    bare = _mapped(lambda x: _spans(tokens_of(x), 1 << 30), SPANS)
+    name_spans = names.withColumn("t", F.explode(bare("name"))).select("brand_id", "name", "t.*").withColumnRenamed("token", "word").distinct()
     n_names = names.agg(F.count("*").alias("n_names"))
-    idf = name_tokens.groupBy("kind", "word").agg(F.countDistinct("brand_id").alias("df")).crossJoin(F.broadcast(n_names)).select("kind", "word", F.log(F.col("n_names") / F.col("df") + 1).alias("w"), F.log(F.col("n_names") + 1.0).alias("w_most"))
+    idf = name_spans.groupBy("kind", "word").agg(F.countDistinct("brand_id").alias("df")).crossJoin(F.broadcast(n_names)).select("kind", "word", F.log(F.col("n_names") / F.col("df") + 1).alias("w"), F.log(F.col("n_names") + 1.0).alias("w_most"))
     # written between the steps: one plan of all of them, replanned at each of its stages, is what fills a driver
-    name_tokens = cut(name_tokens.join(idf, ["kind", "word"]))
-    idf = name_tokens.select("kind", "word", "w").distinct()
-    name_size = name_tokens.filter("kind <> 'L'").groupBy("brand_id", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("name_size"))
-    stock = name_tokens.filter("kind = 'h'").select(F.explode(F.split("word", "")).alias("c")).agg(F.collect_set("c").alias("stock"))
-
-    e = entries.select(F.col(f"`{raw}`").alias("raw")).filter("raw is not null").distinct()
-    entry_tokens = cut(e.withColumn("t", F.explode(cut_up("raw"))).select("raw", F.col("t.kind").alias("kind"), F.col("t.token").alias("token")))
-    fixed = cut(correct_tokens(entry_tokens, name_tokens, stock))
-    most = n_names.select(F.log(F.col("n_names") + 1.0).alias("w_most"))
-    weighed = entry_tokens.join(fixed, ["kind", "token"], "left").join(idf.select("kind", "word", "w"), ["kind", "word"], "left").crossJoin(F.broadcast(most))
-    weighed = weighed.select("raw", "kind", F.lower("kind").alias("script"), "token", "word", "sim", F.coalesce("w", "w_most").alias("w"))
-    # a token with several corrections weighs once in its entry's length
-    entry_size = weighed.filter("kind <> 'L'").groupBy("raw", "script", "token").agg(F.max("w").alias("w")).groupBy("raw", "script").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_size"))
-    met = weighed.filter("word is not null").join(name_tokens.select("kind", "word", "brand_id", "name"), ["kind", "word"])
-    tokenwise = (
-        met.filter("kind <> 'L'")
-        .groupBy("raw", "script", "brand_id", "name")
-        .agg(F.sum(F.col("w") * F.col("w") * F.col("sim")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("common"))
-        .join(entry_size, ["raw", "script"])
-        .join(name_size, ["brand_id", "name"])
-        .select("raw", "brand_id", (F.col("dot") / F.col("entry_size") / F.col("name_size")).alias("score"), (F.col("common") / F.pow("entry_size", F.lit(2))).alias("of_entry"), (F.col("common") / F.pow("name_size", F.lit(2))).alias("of_name"))
-        .filter((F.col("of_entry") >= cover) & (F.col("of_name") >= named))
-    )
-    together = met.filter("kind = 'L'").select("raw", "brand_id", F.col("sim").alias("score"))
-    best = tokenwise.select("raw", "brand_id", "score").unionByName(together).groupBy("raw").agg(F.max_by("brand_id", F.struct("score", -F.col("brand_id"))).alias("brand_id"), F.max("score").alias("score"))
-    best = cut(best)
-    return e.join(best, "raw", "left").select("raw", F.coalesce("brand_id", F.lit(0)).cast("bigint").alias("brand_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    name_spans = cut(name_spans.join(idf, ["kind", "word"]))
+    facts = name_spans.agg(F.max(F.length("word")), F.max("w_most")).first()
+    longest, w_most = facts[0] or 0, facts[1] or 1.0
+    name_size = name_spans.filter("a = b").groupBy("brand_id", "name", "kind").agg(F.array_sort(F.collect_list(F.struct("a", "w"))).alias("x")).select("brand_id", "name", "kind", F.transform("x", lambda p: p["w"]).alias("name_w"))
+    stock = name_spans.filter("kind = 'h'").select(F.explode(F.split("word", "")).alias("c")).distinct()
+
+    e = entries.select(F.col(f"`{raw}`").alias("raw")).filter("raw is not null").groupBy("raw").agg(F.count("*").alias("n"))
+    if "home_country" in brand_ref.columns:
+        countries = brand_ref.select(F.col("home_country").alias("place")).filter("home_country is not null").distinct()
+        place = _mapped(traditional, "string")
+        countries = cut(countries.select(place("place").alias("place")).distinct())
+        widest = countries.agg(F.max(F.length("place"))).first()[0] or 0
+
+        def stretches(text: str) -> list[str]:
+            return list(dict.fromkeys(r[i : i + n] for r in _HAN.findall(_plain(text)) for n in range(1, widest + 1) for i in range(len(r) - n + 1)))
+
+        parts = _mapped(stretches, "array<string>")
+        seen = e.select("raw", F.explode(parts("raw")).alias("place")).join(countries, "place").groupBy("raw").agg(F.collect_set("place").alias("places"))
+        e = e.join(seen, "raw", "left")
+    else:
+        e = e.withColumn("places", F.lit(None).cast("array<string>"))
+
+    @F.pandas_udf(SPANS)
+    def cut_up(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([_spans(tokens_of(t, frozenset(p) if p is not None else frozenset()), longest + 2) for t, p in zip(texts, places, strict=True)])
+
+    entry_spans = cut(e.withColumn("t", F.explode(cut_up("raw", "places"))).select("raw", "n", "t.*"))
+    fixed = cut(correct_tokens(entry_spans, name_spans, stock))
+    total = entry_spans.agg(F.countDistinct("raw")).first()[0] or 1
+    common = entry_spans.filter("a = b").groupBy("kind", "token").agg(F.countDistinct("raw").alias("df"))
+    known = fixed.join(idf.select("kind", "word", "w"), ["kind", "word"]).groupBy("kind", "token").agg(F.max("w").alias("w"))
+    unknown = F.lit(w_most) * F.log(total / F.col("df") + 1) / F.log(F.lit(total + 1.0))
+    place_w = entry_spans.filter("a = b").join(common, ["kind", "token"]).join(known, ["kind", "token"], "left").select("raw", "kind", "a", F.coalesce("w", unknown).alias("w"))
+    entry_size = place_w.groupBy("raw", "kind").agg(F.array_sort(F.collect_list(F.struct("a", "w"))).alias("x")).select("raw", "kind", F.transform("x", lambda p: p["w"]).alias("entry_w"))
+    met = entry_spans.join(fixed, ["kind", "token"]).join(name_spans.select("kind", "word", "brand_id", "name", F.col("a").alias("na"), F.col("b").alias("nb")), ["kind", "word"])
+    met = met.groupBy("raw", "kind", "brand_id", "name").agg(F.collect_set(F.struct("a", "b", "na", "nb", "sim")).alias("met")).join(entry_size, ["raw", "kind"]).join(name_size, ["brand_id", "name", "kind"])
+    met = met.select("raw", "brand_id", _covered("entry_w", "met", "a", "b").alias("e"), _covered("name_w", "met", "na", "nb").alias("m"))
+    share = lambda side: _sum(side, lambda x: F.when(x["sim"] > 0, x["w"]).otherwise(0.0)) / _sum(side, lambda x: x["w"])
+    likeness = lambda side: _sum(side, lambda x: x["w"] * x["sim"]) / _sum(side, lambda x: x["w"])
+    scored = met.select("raw", "brand_id", F.sqrt(likeness("e") * likeness("m")).alias("score"), share("e").alias("of_entry"), share("m").alias("of_name"))
+    scored = scored.filter(((F.col("of_entry") >= cover) & (F.col("of_name") >= named)) | ((F.col("of_name") >= WHOLE) & (F.col("of_entry") >= REST)))
+    best = cut(scored.groupBy("raw").agg(F.max_by("brand_id", F.struct("score", -F.col("brand_id"))).alias("brand_id"), F.max("score").alias("score")))
+    return e.select("raw").join(best, "raw", "left").select("raw", F.coalesce("brand_id", F.lit(0)).cast("bigint").alias("brand_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def p1_found(listings: DataFrame, sku_groups: DataFrame, brand_ref: DataFrame) -> DataFrame:
@@ -169,8 +230,8 @@ def p1_found(listings: DataFrame, sku_groups: DataFrame, brand_ref: DataFrame) -
     exact = brand_ref.select(F.col("brand_canonical").alias("raw")).filter("raw is not null").distinct()
 
     def filled(df: DataFrame, name: str, column: str) -> DataFrame:
-        return df.select(F.lit(name).alias("rec_table"), "sku_id", F.col(column).alias("raw")).filter("sku_id is not null and raw is not null and raw <> ''").distinct().join(exact, "raw", "left_anti")
+        return df.select(F.lit(name).alias("rec_table"), "sku_id", F.col(column).alias("raw")).filter("sku_id is not null and raw is not null and raw <> ''").distinct()
 
     rows = filled(listings, "listings", "brand_name_chi").unionByName(filled(sku_groups, "sku_groups", "brand_canonical"))
-    found = resolve(rows, "raw", brand_ref)
+    found = resolve(rows, "raw", brand_ref).join(exact, "raw", "left_anti")
     return rows.join(found, "raw").select("rec_table", "sku_id", "brand_id")
