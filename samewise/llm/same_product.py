@@ -110,12 +110,16 @@ READ = "pieces array<string>, shown array<bigint>, uom string, qty double, error
 
 def _content(texts: list[str], factors) -> tuple:
     for text in texts:
-        if text and (got := solve(found := readings(text), factors)):
+        if text and (got := solve(found := readings(fold_letters(text)), factors)):
             imperial = not any(r["code"] not in IMPERIAL and abs(math.log(v * factors[r["code"]][1] / got[1])) < 1e-6 for r in found if r["code"] in factors for v in r["numbers"])
             return got[0], got[1], printed_error(found, factors, got[1]), imperial
     return None, None, None, None
 
 
+def _pieces(text: str, hits: list[tuple[int, int, int]]) -> list[str]:
+    return _PIECE.findall(_READING.sub(" / ", blank(text, hits)))
+
+
 def _reader(names: dict[str, int], factors):
     """Titles to pieces, the listed brands they show, content, item code, and the description without names and amounts."""
 
@@ -126,21 +130,37 @@ def _reader(names: dict[str, int], factors):
             t, d = folded(t), folded(d)
             hits = scan(known, t)
             code = m[0].replace("-", "") if (m := _CODE.search(_READING.sub(" ", t))) else None
-            pieces = _PIECE.findall(_READING.sub(" / ", blank(t, hits)))
-            content = _content([fold_letters(t), fold_letters(p), fold_letters(d)], factors)
+            pieces = _pieces(t, hits)
+            content = _content([t, p, d], factors)
             out.append((pieces, sorted({v for *_, v in hits if v >= 0}), *content, code, _READING.sub(" / ", blank(d, scan(known, d)))))
         return pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")])
 
     return read
 
 
-def read_listings(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> DataFrame:
-    """One row for each sku_id; listings without one take no part, redelivered ones count once."""
+def brand_names(brand_ref: DataFrame) -> dict[str, int]:
+    """Names of the list with their brand, and its countries with -1. More than BRANDS rows are refused."""
     ref = brand_ref.select("brand_id", "brand_canonical", "brand_alt", "home_country").limit(BRANDS + 1).collect()
     if len(ref) > BRANDS:
         raise ValueError(f"the reference of brands has over {BRANDS} rows")
-    names = {folded(r.home_country): -1 for r in ref if r.home_country} | {folded(x): r.brand_id for r in ref for x in (r.brand_canonical, r.brand_alt) if x and folded(x)}
+    names = {folded(r.home_country): -1 for r in ref if r.home_country} | {folded(x): r.brand_id for r in ref for x in (r.brand_canonical, r.brand_alt) if x}
     names.pop("", None)
+    return names
+
+
+def title_pieces(listings: DataFrame, names: dict[str, int]) -> DataFrame:
+    """(sku_id, pieces) of every listing, the narrow table from which the lexicon is learned; redelivered listings count once."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(title: pd.Series) -> pd.Series:
+        known = automaton(names)
+        return title.map(lambda t: _pieces(t := folded(t), scan(known, t)))
+
+    return listings.filter("sku_id is not null").select("sku_id", pieces("sku_name_chi").alias("p")).groupBy("sku_id").agg(F.min("p").alias("pieces"))
+
+
+def read_listings(listings: DataFrame, names: dict[str, int], unit_ref: DataFrame) -> DataFrame:
+    """One row for each sku_id; listings without one take no part, redelivered ones count once. The only wide exchange: what is read goes by sku_id."""
     read = _reader(names, unit_factors(unit_ref))
     rows = listings.filter("sku_id is not null").select("sku_id", F.col("brand_name_chi").alias("entry"), read("sku_name_chi", "pack_size_chi", "description_chi").alias("t"))
     rows = rows.groupBy("sku_id").agg(F.min(F.struct("t", "entry")).alias("x")).select("sku_id", "x.entry", "x.t.*")
@@ -232,7 +252,7 @@ def _words_and_pairs(piece: Column) -> Column:
 TOKENS = "tokens array<struct<w: string, at: int, marked: boolean>>"
 
 
-def tokens(rows: DataFrame, units: DataFrame, affixes: dict[str, int], phrases: frozenset[str], total: int) -> DataFrame:
+def tokens(rows: DataFrame, titles: DataFrame, units: DataFrame, affixes: dict[str, int], phrases: frozenset[str], total: int) -> DataFrame:
     """rows with the distinct tokens of each title: position among the pieces, and whether an affix followed.
 
     Units of frequent runs, a bounded number, go to the tasks as they are; only rare long runs meet their units in a join, so no key is hot.
@@ -240,7 +260,7 @@ def tokens(rows: DataFrame, units: DataFrame, affixes: dict[str, int], phrases:
     often = FREQUENT * total
     common = {r.run: r.units for r in units.filter(F.col("n") >= often).select("run", "units").collect()}
     long = F.filter(F.array_distinct("pieces"), lambda p: (F.length(p) >= 4) & p.rlike(f"^[{_HAN}]"))
-    met = rows.select("sku_id", F.explode(long).alias("run")).join(units.filter(F.col("n") < often).select("run", "units"), "run").groupBy("sku_id").agg(F.collect_list(F.struct("run", "units")).alias("found"))
+    met = titles.select("sku_id", F.explode(long).alias("run")).join(units.filter(F.col("n") < often).select("run", "units"), "run").groupBy("sku_id").agg(F.collect_list(F.struct("run", "units")).alias("found"))
 
     @F.pandas_udf("array<struct<w: string, at: int, marked: boolean>>")
     def cut_up(pieces: pd.Series, found: pd.Series) -> pd.Series:
@@ -402,35 +422,31 @@ def _describe(attribute: dict[str, tuple[int, int]], frequent: frozenset[str], s
 
 
 def with_lines(rows: DataFrame) -> DataFrame:
-    """rows (sku_id, names, windows, ...) with line and family."""
-    said = rows.select("sku_id", F.explode("names").alias("x"), (F.length("about") > 0).alias("described")).select("sku_id", "x.*", "described")
-    stats = said.groupBy("w").agg(F.count("*").alias("n"), F.count_if("told").alias("told_n"), F.count_if("marked").alias("marked_n"), F.count_if("described").alias("described_n"))
+    """rows (sku_id, names, windows, described, ...) with line and family."""
+    said = rows.select("sku_id", "described", F.explode("names").alias("x")).select("sku_id", "described", "x.*")
+    stats = cut(said.groupBy("w").agg(F.count("*").alias("n"), F.count_if("told").alias("told_n"), F.count_if("marked").alias("marked_n"), F.count_if("described").alias("described_n")))
     known = stats.filter((F.col("told_n") + F.col("marked_n") >= 1) & (F.col("told_n") + F.col("marked_n") >= 0.05 * F.col("described_n"))).select("w", "n", (F.col("marked_n") > 0).alias("line_for_sure"))
     own = cut(said.join(known, "w").select("sku_id", "w", "n", "line_for_sure", "at", "told", "marked"))
     # a token without affix that stands with each of two and more rarer names again and again is a family
     other = own.select("sku_id", F.col("w").alias("v"), F.col("n").alias("vn"))
-    families = own.join(other, "sku_id").filter("w <> v and vn < n and not line_for_sure").groupBy("w", "v").agg(F.count("*").alias("times")).filter("times >= 2").groupBy("w").agg(F.count("*").alias("lines")).filter("lines >= 2").select("w")
+    families = own.filter("not line_for_sure").join(other, "sku_id").filter("w <> v and vn < n").groupBy("w", "v").agg(F.count("*").alias("times")).filter("times >= 2").groupBy("w").agg(F.count("*").alias("lines")).filter("lines >= 2").select("w", F.lit(True).alias("family"))
     families = cut(families)
-    lines = known.join(families, "w", "left_anti")
     choice = F.struct(F.when(F.col("told"), 0).otherwise(1), F.when(F.col("marked"), 0).otherwise(1), "n", "at", "w")
-    line = own.join(families, "w", "left_anti").groupBy("sku_id").agg(F.min_by("w", choice).alias("line"))
-    family = own.join(families, "w", "left_semi").groupBy("sku_id").agg(F.min_by("w", F.struct("at", "w")).alias("family"))
-    rows = rows.join(line, "sku_id", "left").join(family, "sku_id", "left")
+    shown = own.join(families, "w", "left").groupBy("sku_id").agg(F.min_by(F.when(F.col("family").isNull(), F.col("w")), F.when(F.col("family").isNull(), choice)).alias("line"), F.min_by(F.when(F.col("family"), F.col("w")), F.when(F.col("family"), F.struct("at", "w"))).alias("family"))
     # lines that only the description has
-    asked = rows.filter("line is null").select("sku_id", F.explode("windows").alias("w")).join(lines, "w")
-    heard = asked.groupBy("sku_id").agg(F.max_by("w", F.struct(F.length("w"), "n", "w")).alias("heard"))
-    rows = rows.join(heard, "sku_id", "left").withColumn("line", F.coalesce("line", "heard")).drop("heard", "windows")
+    lines = known.join(families, "w", "left_anti").select("w", "n")
+    heard = rows.select("sku_id", F.explode("windows").alias("w")).join(lines, "w").groupBy("sku_id").agg(F.max_by("w", F.struct(F.length("w"), "n", "w")).alias("heard"))
+    rows = rows.drop("windows").join(shown, "sku_id", "left").join(heard, "sku_id", "left")
+    rows = cut(rows.withColumn("line", F.coalesce("line", "heard")).drop("heard"))
     # names that go with one line, in titles that also show it or whose description does
-    pairs = rows.filter("line is not null").select("line", F.explode("names.w").alias("name")).filter("name <> line").groupBy("name", "line").agg(F.count("*").alias("n"))
-    stands = pairs.groupBy("name").agg(F.max_by("line", F.struct("n", "line")).alias("stands"), F.max("n").alias("most"), F.sum("n").alias("all")).filter(F.col("most") >= ALIAS * F.col("all")).join(families, F.col("name") == F.col("w"), "left_anti").select("name", "stands", "most")
-    rows = cut(rows)
-    named = rows.select("sku_id", F.col("line").alias("shown"), F.explode("names.w").alias("name")).filter("shown is null or shown = name").join(stands, "name")
-    named = named.groupBy("sku_id").agg(F.max_by("stands", F.struct("most", "stands")).alias("stands"))
-    rows = rows.join(named, "sku_id", "left").withColumn("line", F.coalesce("stands", "line")).drop("stands")
+    pairs = rows.filter("line is not null").select("line", F.explode("names.w").alias("w")).filter("w <> line").groupBy("w", "line").agg(F.count("*").alias("n"))
+    stands = pairs.groupBy("w").agg(F.max_by("line", F.struct("n", "line")).alias("stands"), F.max("n").alias("most"), F.sum("n").alias("all")).filter(F.col("most") >= ALIAS * F.col("all")).join(families, "w", "left_anti").select("w", "stands", "most")
     # last, a repeated token about which descriptions tell nothing, where it is not one they had many chances to repeat
-    open_names = stats.filter(f"n >= 2 and told_n + marked_n = 0 and described_n < {UNTOLD}").select("w", "n")
-    guess = rows.filter("line is null").select("sku_id", F.explode("names").alias("x")).select("sku_id", "x.w", "x.at").join(open_names, "w").groupBy("sku_id").agg(F.max_by("w", F.struct("n", -F.col("at"), "w")).alias("guess"))
-    return rows.join(guess, "sku_id", "left").withColumn("line", F.coalesce("line", "guess")).drop("guess", "names")
+    open_names = stats.filter(f"n >= 2 and told_n + marked_n = 0 and described_n < {UNTOLD}").select("w", F.col("n").alias("open_n"))
+    told = stands.join(open_names, "w", "full")
+    again = rows.select("sku_id", "line", F.explode("names").alias("x")).select("sku_id", "line", "x.w", "x.at").filter("line is null or line = w").join(told, "w")
+    again = again.groupBy("sku_id").agg(F.max_by("stands", F.when(F.col("stands").isNotNull(), F.struct("most", "stands"))).alias("stands"), F.max_by("w", F.when(F.col("line").isNull() & F.col("open_n").isNotNull(), F.struct("open_n", -F.col("at"), "w"))).alias("guess"))
+    return rows.join(again, "sku_id", "left").withColumn("line", F.coalesce("stands", "line", "guess")).drop("stands", "guess", "names")
 
 
 # -- 4. amounts
@@ -442,16 +458,18 @@ def with_made(rows: DataFrame) -> DataFrame:
     counts = rows.filter("exact and whole > 0").groupBy("line", "uom", "whole").agg(F.count("*").alias("votes"))
     loose = rows.filter("not exact and qty > 0").select("line", "uom", "qty", "near").distinct()
     gap = F.abs(F.log(F.col("qty") / F.col("amount")))
+    key = ["line", "uom", "qty", "near"]
     of_line = loose.join(counts.filter("line is not null").select("line", "uom", F.col("whole").alias("amount"), "votes"), ["line", "uom"]).filter(gap <= F.col("near") + 1e-9)
-    of_line = of_line.groupBy("line", "uom", "qty", "near").agg(F.min_by("amount", F.struct(gap, -F.col("votes"), "amount")).alias("made_here"))
+    of_line = of_line.groupBy(*key).agg(F.min_by("amount", F.struct(gap, -F.col("votes"), "amount")).alias("here"))
     # buckets as wide as the widest error meet their neighbours
     wide = F.floor(F.log("qty") / SPREAD)
     everywhere = counts.groupBy("uom", "whole").agg(F.sum("votes").alias("votes")).select("uom", F.col("whole").alias("amount"), "votes", F.floor(F.log("whole") / SPREAD).alias("bin"))
     amounts = loose.select("uom", "qty", "near").distinct().withColumn("bin", F.explode(F.array(wide - 1, wide, wide + 1)))
-    common = amounts.join(everywhere, ["uom", "bin"]).filter(gap <= F.least(F.col("near"), F.lit(SPREAD)) + 1e-9).groupBy("uom", "qty", "near").agg(F.max_by("amount", F.struct("votes", -gap, "amount")).alias("made_anywhere"))
-    key = ["uom", "qty", "near"]
-    out = rows.join(of_line, ["line", *key], "left").join(common, key, "left")
-    return out.withColumn("made", F.when(F.col("exact"), F.col("whole")).otherwise(F.coalesce("made_here", "made_anywhere", "whole"))).drop("made_here", "made_anywhere", "near", "exact", "whole", "error", "imperial")
+    common = amounts.join(everywhere, ["uom", "bin"]).filter(gap <= F.least(F.col("near"), F.lit(SPREAD)) + 1e-9).groupBy("uom", "qty", "near").agg(F.max_by("amount", F.struct("votes", -gap, "amount")).alias("anywhere"))
+    made = cut(loose.join(of_line, key, "left").join(common, key[1:], "left").select(*key, F.coalesce("here", "anywhere").alias("made")).filter("made is not null"))
+    line = F.coalesce("line", F.lit(""))  # amounts without a line meet too
+    out = rows.withColumn("line_key", line).join(made.withColumn("line_key", line).drop("line"), ["line_key", *key[1:]], "left")
+    return out.withColumn("made", F.when(F.col("exact"), F.col("whole")).otherwise(F.coalesce("made", "whole"))).drop("line_key", "near", "exact", "whole", "error", "imperial")
 
 
 # -- 5. voting
@@ -528,17 +546,18 @@ def products(rows: DataFrame, others: list[str]) -> DataFrame:
 
 def listing_tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> tuple[DataFrame, list[str]]:
     """(sku_id, brand, line, one column for each learned attribute, made, code, article, early) of every listing, and the attributes' names."""
-    read = cut(read_listings(listings, brand_ref, unit_ref))
-    total = read.count()
-    units, affixes, phrases = lexicon(read, max(total, 1))
-    rows = cut(tokens(read, units, affixes, phrases, max(total, 1)))
-    forget(read, units)
-    attribute, frequent = attributes(rows, max(total, 1))
+    names = brand_names(brand_ref)
+    titles = cut(title_pieces(listings, names))
+    total = max(titles.count(), 1)
+    units, affixes, phrases = lexicon(titles, total)
+    rows = cut(tokens(read_listings(listings, names, unit_ref), titles, units, affixes, phrases, total))
+    forget(titles, units)
+    attribute, frequent = attributes(rows, total)
     slots = max((s for s, _ in attribute.values()), default=-1) + 1
     words = F.array_join(F.array_sort("tokens.w"), " ").alias("words")  # where no attribute is learned, only titles of equal words are one product
-    told = cut(rows.withColumn("d", _describe(attribute, frequent, slots)("tokens", "about")).select("sku_id", "entry", "shown", "uom", "qty", "error", "imperial", "code", "article", "about", words, "d.*"))
+    told = cut(rows.withColumn("d", _describe(attribute, frequent, slots)("tokens", "about")).select("sku_id", "entry", "shown", "uom", "qty", "error", "imperial", "code", "article", F.coalesce(F.length("about") > 0, F.lit(False)).alias("described"), words, "d.*"))
     forget(rows)
-    lined = cut(with_lines(told).drop("about"))
+    lined = cut(with_lines(told))
     forget(told)
     if slots > 1 and lined.filter("line is not null").count() < REACH * total:
         # few lines, each in many listings, are learned as values of the attribute with the most values
