@@ -12,39 +12,63 @@ with y of the record's n tokens being the term, and r of the rest's N tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samewise.llm.normal_form import reading_form_column
+from samewise.llm.normal_form import look_alikes, reading_form
+from samewise.session import cut
 
 #: Longest runs of Latin letters (accented ones of U+00C0 to U+017F, without the signs for times and division) and digits.
-RUNS = "[A-Za-zÀ-ÖØ-öø-ſ0-9]+"
+RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ſ0-9]+")
+_DIGIT = re.compile("[0-9]")
+#: All that terms are made of: such runs, runs of ideographs, and runs of letters of other scripts.
+WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ſ0-9]+|([\u3400-\u4dbf\u4e00-\u9fff]+)|[^\\W_]+")
+
+
+def latin_words(form: str, least: int = 4) -> list[str]:
+    """Runs of at least ``least`` characters and no digit, in lower case."""
+    return [t.lower() for t in RUNS.findall(form) if len(t) >= least and not _DIGIT.search(t)]
+
+
+def all_terms(form: str) -> list[str]:
+    """Every word in lower case; of a run of ideographs, which has no blanks, each two neighbours."""
+    out: list[str] = []
+    for m in WORDS.finditer(form):
+        w = m[0]
+        out += [w[i : i + 2] for i in range(len(w) - 1)] if m[1] and len(w) > 2 else [w.lower()]
+    return out
 
 
-def terms(df: DataFrame, key: str, text: str, least: int = 4) -> DataFrame:
+def terms(df: DataFrame, key: str, text: str, of: Callable[[str], list[str]] = all_terms) -> DataFrame:
     """(record, term, y, n): counts of the terms of each record, which is a key with one of its texts, and of all its terms.
 
-    A term is a run of at least ``least`` characters and no digit, lower case, taken from the text's one form. Repeated rows
-    count once. Null, empty and termless texts have no rows.
+    Terms are taken from the text's one form. Repeated rows count once. Null, empty and termless texts have no rows.
     """
-    rows = df.select(F.col(f"`{key}`").alias("record"), F.col(f"`{text}`").alias("raw")).filter("record is not null and raw is not null").distinct()
-    found = F.filter(F.transform(F.regexp_extract_all(reading_form_column("raw"), F.lit(RUNS), F.lit(0)), F.lower), lambda t: (F.length(t) >= least) & ~t.rlike("[0-9]"))
-    rows = rows.select("record", found.alias("found")).filter(F.size("found") > 0)
-    # counted inside the record: no shuffle for y and n
-    distinct = F.transform(F.array_distinct("found"), lambda t: F.struct(t.alias("term"), F.size(F.filter(F.col("found"), lambda x: x == t)).alias("y")))
-    one = rows.select("record", F.size("found").alias("n"), F.explode(distinct).alias("t"))
+    table = look_alikes(SparkSession.getActiveSession())
+
+    @F.pandas_udf("array<struct<term: string, y: int>>")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"term": w, "y": y} for w, y in Counter(of(reading_form(t, table))).items()])
+
+    rows = df.select(F.col(f"`{key}`").alias("record"), F.col(f"`{text}`").alias("raw")).filter("record is not null and raw is not null").distinct().select("record", count("raw").alias("ts"))
+    one = rows.select("record", F.aggregate("ts", F.lit(0), lambda s, t: s + t["y"]).alias("n"), F.explode("ts").alias("t"))
     return one.select("record", "t.term", "t.y", "n")
 
 
-def distinctiveness(df: DataFrame, key: str, text: str, strength: float = 1000.0, least: int = 4) -> DataFrame:
+def distinctiveness(df: DataFrame, key: str, text: str, strength: float = 1000.0, of: Callable[[str], list[str]] = all_terms) -> DataFrame:
     """(record, term, y, n, records, z): every term of every record with its number of records and its z-score.
 
-    The counts of the collection are partial aggregates, so a term of a third of all records is combined before its shuffle;
-    in the join that hands them back such a term is split by the adaptive skew join. Ties have equal scores.
+    The terms are read and written once. The counts of the collection are partial aggregates, so a term of a third of all records is combined before its
+    shuffle; in the join that hands them back such a term is split by the adaptive skew join. Ties have equal scores.
     """
-    one = terms(df, key, text, least)
+    one = cut(terms(df, key, text, of))
     stats = one.groupBy("term").agg(F.sum("y").alias("count"), F.count("*").alias("records"))
-    total = stats.agg(F.sum("count").alias("total"))
+    total = one.agg(F.sum("y").alias("total"))
     stats = stats.crossJoin(F.broadcast(total))  # one row
     prior = strength * F.col("count") / F.col("total")
     rest, rest_all = F.col("count") - F.col("y"), F.col("total") - F.col("n")
@@ -53,11 +77,14 @@ def distinctiveness(df: DataFrame, key: str, text: str, strength: float = 1000.0
     return one.join(stats, "term").select("record", "term", "y", "n", "records", z.alias("z"))
 
 
-def p4_scores(listings: DataFrame) -> DataFrame:
-    """(sku_id, term, records, z) of every term of every title."""
-    return distinctiveness(listings, "sku_id", "sku_name_chi").select(F.col("record").alias("sku_id"), "term", "records", F.round("z", 6).alias("z"))
+def p4_scores(listings: DataFrame, of: Callable[[str], list[str]] = all_terms) -> DataFrame:
+    """(sku_id, term, records, z) of every term of every title: words of all scripts, and neighbouring ideographs."""
+    return distinctiveness(listings, "sku_id", "sku_name_chi", of=of).select(F.col("record").alias("sku_id"), "term", "records", F.round("z", 6).alias("z"))
 
 
 def p4_found(listings: DataFrame, lo: int = 2, hi: int = 4) -> DataFrame:
-    """(sku_id, term): the terms that stand in the titles of lo to hi listings."""
-    return p4_scores(listings).filter(F.col("records").between(lo, hi) & F.col("z").isNotNull()).select("sku_id", "term")
+    """(sku_id, term): the words of Latin letters that stand in the titles of lo to hi listings.
+
+    The range of listings alone decides, by definition; that every term has a score is the operator's part.
+    """
+    return p4_scores(listings, latin_words).filter(F.col("records").between(lo, hi) & F.col("z").isNotNull()).select("sku_id", "term")

@@ -53,6 +53,11 @@ def largest_budget(capacity: DataFrame) -> float:
     return float(got or 0.0)
 
 
+def whole_budget(capacity: DataFrame) -> float:
+    """All tokens of the listed sources: a mix as large as the corpus, in which scarce sources are repeated and may still run dry."""
+    return float(capacity.filter("target_share > 0").agg(F.sum("available")).first()[0] or 0.0)
+
+
 def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 17) -> DataFrame:
     """(doc_id, source, pass, tokens, finish) of the mix, range-sorted by finish time.
 
@@ -66,7 +71,8 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed:
 def report(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 17) -> DataFrame:
     """One row for each target: wanted and actual share, tokens and uses, highest pass, and whether the target was met.
 
-    ``met`` is false where the source ran dry before its share of the budget; shares of an empty mix are 0.
+    ``met`` is false where the source ran dry before its share of the budget, and for every positive target of a mix without tokens; shares of an empty
+    mix are 0. ``short`` is how many tokens the source's share of the budget lacks.
     """
     capacity = capacities(sized, targets)
     if budget is None:
@@ -74,6 +80,8 @@ def report(sized: DataFrame, targets: DataFrame, budget: float | None = None, se
     got = uses(sized, targets, seed).filter(F.col("finish") <= F.lit(float(budget))).groupBy("source").agg(F.sum("tokens").alias("mixed"), F.count("*").alias("uses"), F.max("pass").alias("passes"))
     rows = capacity.join(got, "source", "left").fillna(0, ["mixed", "uses", "passes"])
     total = rows.agg(F.sum("mixed").alias("total"))
+    given = F.col("available") * F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))
+    asked = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)) * F.lit(float(budget))
     return rows.crossJoin(F.broadcast(total)).select(
         "source",
         "target_share",
@@ -84,7 +92,8 @@ def report(sized: DataFrame, targets: DataFrame, budget: float | None = None, se
         "uses",
         F.col("passes").cast("int").alias("passes"),
         F.when(F.col("total") > 0, F.round(F.col("mixed") / F.col("total"), 6)).otherwise(0.0).alias("actual_share"),
-        (F.col("available") * F.col("max_repeats") >= F.col("target_share") * F.lit(float(budget)) - 1e-6).alias("met"),
+        ((F.coalesce("target_share", F.lit(0.0)) <= 0) | ((F.col("total") > 0) & (given >= asked - 1e-6))).alias("met"),
+        F.greatest(F.ceil(asked - given - 1e-6), F.lit(0)).cast("bigint").alias("short"),
     )
 
 

@@ -52,6 +52,28 @@ _WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 _UNSPACED = re.compile(f"[{UNSPACED}]")
 
 
+_SOLID = re.compile(r"\S")
+
+
+def _solid(text: str, start: int, end: int) -> int:
+    """Position of the first character of text[start:end] that is no white space, ``end`` if there is none."""
+    m = _SOLID.search(text, start, end)
+    return m.start() if m else end
+
+
+def _last(text: str, start: int, end: int) -> int:
+    """Position behind the last such character, ``start`` if there is none."""
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def _lead(text: str, start: int, where: int, last: int) -> str:
+    """What leads into a quotation that opens at ``where``: a colon, the sentence's begin, or more of it."""
+    before = _last(text, start, where)
+    return ":" if before > start and text[before - 1] in ":：" else "^" if before == start or where <= last + 1 else "m"
+
+
 def units(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, is a list item) of the stretches that no sentence crosses, untrimmed."""
     at = 0
@@ -61,7 +83,8 @@ def units(text: str) -> Iterator[tuple[int, int, bool]]:
         starts = [0, *(x.end() for x in _LINE.finditer(block))]
         marked = [bool(_ITEM.match(block, s)) for s in starts]
         # a wrapped line may begin with a number and a stop; a numbered list begins with its first item
-        first = next((k for k, s in enumerate(starts) if block[s:].strip()), 0)
+        solid = _solid(block, 0, len(block))
+        first = max(k for k, s in enumerate(starts) if s <= solid)
         marked = [x and (marked[first] or not _NUMBERED.match(block, s)) for x, s in zip(marked, starts, strict=True)]
         if any(marked):
             cuts = [s for s, x in zip(starts, marked, strict=True) if x]
@@ -156,8 +179,7 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, list]]:
                     c = text[stop]
                     if stack and c in PAIRS[stack[-1][0]]:
                         opener, where = stack.pop()
-                        before = text[start:where].rstrip()
-                        lead = ":" if before[-1:] in (":", "：") and before else "^" if not before or where <= last + 1 else "m"
+                        lead = _lead(text, start, where, last)
                         closed += c
                         stop += 1
                     elif closed and c in STOPS:
@@ -169,15 +191,15 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, list]]:
                     continue
                 if depth and not closed:
                     continue
-                after = text[stop:end]
-                if not after.strip():
+                right = _solid(text, stop, end)
+                if right == end:
                     break
-                spaced = after[0].isspace()
-                wide = token[-1] in WIDE_STOPS or (closed and closed[-1] in "」』）】》〉") or (token[-1] in "!?" and _WIDE.match(after[0]))
+                spaced = right > stop
+                wide = token[-1] in WIDE_STOPS or (closed and closed[-1] in "」』）】》〉") or (token[-1] in "!?" and _WIDE.match(text[stop]))
                 glued = token == "." and not closed and _GLUED.match(text, m.start() - 2, end) is not None
                 if not spaced and not wide and not glued:
                     continue
-                out.append((stop, [text[max(start, m.start() - 24) : m.start()], token, closed, lead, after[:40].lstrip()[:24], m.start() - last]))
+                out.append((stop, [text[max(start, m.start() - 24) : m.start()], token, closed, lead, text[right : min(end, right + 24)], m.start() - last]))
                 last = stop
             elif quoted:
                 if stack and token in PAIRS[stack[-1][0]]:
@@ -191,20 +213,24 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, list]]:
 
 def _ending(text: str, start: int, end: int, found: list) -> list | None:
     """The unit's end as a candidate without right side; None where nothing reliable ends it."""
-    body = text[start:end].rstrip()
+    end = _last(text, start, end)
     last = found[-1][0] if found else start
-    m = re.search(rf"([{re.escape(STOPS)}]+)([{re.escape(CLOSERS)}]*)$", body)
-    if m:
-        closed = m[2]
+    stop = end
+    while stop > start and text[stop - 1] in CLOSERS:
+        stop -= 1
+    mark = stop
+    while mark > start and text[mark - 1] in STOPS:
+        mark -= 1
+    if mark < stop:
+        closed = text[stop:end]
         lead = ""
         if closed:
             opener = next((k for k, v in PAIRS.items() if closed[0] in v), "")
-            where = body.rfind(opener, 0, m.start()) if opener else -1
-            before = body[:where].rstrip() if where >= 0 else ""
-            lead = ":" if before[-1:] in (":", "：") and before else "^" if not before or start + where <= last + 1 else "m"
-        return [body[max(0, m.start() - 24) : m.start()], m[1], closed, lead, None, start + m.start() - last]
-    if body and _UNSPACED.match(body[-1]):
-        return [body[-24:], "", "", "", None, start + len(body) - last]
+            where = text.rfind(opener, start, mark) if opener else -1
+            lead = _lead(text, start, where, last) if where >= 0 else "^"
+        return [text[max(start, mark - 24) : mark], text[mark:stop], closed, lead, None, mark - last]
+    if end > start and _UNSPACED.match(text[end - 1]):
+        return [text[max(start, end - 24) : end], "", "", "", None, end - last]
     return None
 
 
@@ -212,13 +238,14 @@ def examples(text: str) -> Iterator[tuple[list[int], float, float]]:
     """(features, label, weight) of one text's candidates."""
     prose = []
     for s, e, item in units(text):
-        if not item and text[s:e].strip():
+        if not item and _solid(text, s, e) < e:
             found = candidates(text, s, e)
             prose.append((s, e, found, _ending(text, s, e, found)))
     prose = [p for p in prose if p[3]]
     for k, (_, _, found, ending) in enumerate(prose):
         s, e = prose[(k + 1) % len(prose)][:2]
-        ending[4] = text[s:e].lstrip()[:24]
+        right = _solid(text, s, e)
+        ending[4] = text[right : min(e, right + 24)]
         yield features(*ending), 1.0, 1.0
         for _, f in found:
             if f[1] and f[1][-1] in SURE_STOPS and not f[2]:
@@ -262,9 +289,8 @@ def sentences(text: str | None, w: np.ndarray) -> list[tuple[int, int]]:
         return out
 
     def add(a: int, b: int) -> None:
-        piece = text[a:b]
-        a += len(piece) - len(piece.lstrip())
-        b = a + len(piece.strip())
+        a = _solid(text, a, b)
+        b = _last(text, a, b)
         if b > a:
             out.append((a, b))
 

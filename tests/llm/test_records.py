@@ -82,7 +82,15 @@ def test_reading_form():
     assert f("Ｐ​еllаdel 皂") == "Pelladel 皂" and f("⼿工") == "手工" and f("O­̈v") == "Öv" and f("Рrахороlо") == "Praxopolo"
     assert f("мыло") == "мыло" and f("σαπούνι") == "σαπούνι" and f(None) is None and f(" 　") == ""
     assert f("Case") != f("case") and f("é") != f("e") and f("洁") != f("潔")
-    assert normal_form.consistent("Сοаp") == "Coap"
+    assert normal_form.PLAIN.consistent("Сοаp") == "Coap"
+
+
+def test_whole_table_of_look_alikes(spark):
+    table = normal_form.look_alikes(spark)
+    f = lambda x: normal_form.reading_form(x, table)
+    assert f("Rոse") == f("Rnse") and f("Ꭰove") == "Dove" and f("sⲟap") == "soap" and f("ɡold") == "gold" and f("sσap") == "soap" and f("ѵita") == "vita" and f("τea") == f("тea")
+    assert f("мыло") == "мыло" and f("S0ap") != f("SOap") and f("lI1") == "lI1" and f("Soap") != f("soap") and f("é") != f("e") and f("ไทย") == "ไทย" and f("香皂") == "香皂"
+    assert all(f(f(x)) == f(x) for x in table.shape)
 
 
 @settings(max_examples=100, deadline=None)
@@ -133,10 +141,14 @@ def test_matches_need_a_score(spark):
     assert {tuple(r) for r in components.p3_found(df).collect()} == {("a", "a"), ("b", "a")}
 
 
-def test_distinctive_terms(spark):
-    titles = {"a": "Natural Paferosu soap Natural", "b": "Ѕоар Paferosu soap90 Natural", "c": "natural soaps", "d": None, "e": "", "f": "皂 abc 1234", "g": "Natural Natural Élan"}
+TERMS = {"latin": lambda x: [t for t in (w.lower() for w in re.findall("[A-Za-zÀ-ÖØ-öø-ſ0-9]+", x)) if len(t) >= 4 and not re.search(r"\d", t)], "all": lambda x: [g for w in re.findall("[A-Za-zÀ-ÖØ-öø-ſ0-9]+|[一-鿿]+|[ก-๙]+", x) for g in ([w[i : i + 2] for i in range(len(w) - 1)] if w[0] >= "一" and len(w) > 2 else [w.lower()])]}
+
+
+@pytest.mark.parametrize("kind", list(TERMS))
+def test_distinctive_terms(spark, kind):
+    titles = {"a": "Natural Paferosu soap Natural", "b": "Ѕоар Paferosu soap90 Natural", "c": "natural soaps", "d": None, "e": "", "f": "手工香皂 abc 1234", "g": "Natural Natural Élan 香皂", "h": "手工香皂 " * 3000}
     df = listing(spark, [(k, v, None, None, None) for k, v in titles.items()] + [("a", titles["a"], None, None, None)])
-    docs = {k: [t for t in (x.lower() for x in re.findall("[A-Za-zÀ-ÖØ-öø-ſ0-9]+", normal_form.reading_form(v))) if len(t) >= 4 and not re.search(r"\d", t)] for k, v in titles.items() if v}
+    docs = {k: TERMS[kind](normal_form.reading_form(v)) for k, v in titles.items() if v}
     everything = [t for d in docs.values() for t in d]
     want, strength = {}, 1000.0
     for k, d in docs.items():
@@ -146,10 +158,10 @@ def test_distinctive_terms(spark):
             rest, others = c - y, total - n
             delta = math.log((y + p) / (n + strength - y - p)) - math.log((rest + p) / (others + strength - rest - p))
             want[k, t] = (sum(t in x for x in docs.values()), round(delta / math.sqrt(1 / (y + p) + 1 / (rest + p)), 6))
-    got = {(r.sku_id, r.term): (r.records, r.z) for r in distinct_terms.p4_scores(df).collect()}
+    got = {(r.sku_id, r.term): (r.records, r.z) for r in distinct_terms.p4_scores(df, distinct_terms.latin_words if kind == "latin" else distinct_terms.all_terms).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
-    assert got["a", "paferosu"][1] > got["a", "soap"][1] - 1e9
-    assert {tuple(r) for r in distinct_terms.p4_found(df).collect()} == {(k, t) for (k, t), (n, _) in want.items() if 2 <= n <= 4}
+    if kind == "latin":
+        assert {tuple(r) for r in distinct_terms.p4_found(df).collect()} == {(k, t) for (k, t), (n, _) in want.items() if 2 <= n <= 4}
     assert distinct_terms.p4_found(df.limit(0)).count() == 0
 
 

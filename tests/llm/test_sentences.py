@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -38,6 +40,22 @@ def test_edge_texts(spark, weights):
     assert S.split_sentences(df.limit(0)).count() == 0
 
 
+def test_time_grows_with_the_length_only(weights):
+    def took(n):
+        began = time.process_time()
+        S.sentences("He said \"yes. No\" and left. Good value! 好用！(Dr. Rusk) " * n, weights)
+        return time.process_time() - began
+
+    took(100)
+    short, long = min(took(2000) for _ in range(3)), took(8000)
+    assert long < 5 * short + 0.05
+
+
+def test_long_runs_of_marks_and_blanks(weights):
+    for text in ("." * 200_000, "(" * 50_000 + "x.", " " * 200_000 + "x", "\n" * 100_000, "«" * 3000 + "a. B" + "»" * 3000):
+        S.sentences(text, weights)
+
+
 def test_spans_are_trimmed_ordered_and_cover_all_ink(weights):
     text = "  A b.  C d!\n\n* x\n* y  \n\nท่าน ค่ะ "
     spans = S.sentences(text, weights)

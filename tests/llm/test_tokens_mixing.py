@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,6 +20,21 @@ def test_tree_equals_whole(text, size):
     assert tokens.decode(t, whole) == text
 
 
+def test_most_texts_are_trees_and_all_trees_of_a_batch_equal_whole_encoding():
+    t, r = tokens.tokenizer(), random.Random(8)
+    texts = ["".join(r.choice(PIECES) for _ in range(r.randint(0, 1200))) for _ in range(300)] + ["a" * 5000, " " * 3000, "皂" * 2000, "!" * 1000 + "'re" * 500, None, ""]
+    assert sum(bool(x) and len(x) > tokens.LEAF for x in texts) > 200
+    assert tokens.encode_all(t, texts) == [t.encode(x, add_special_tokens=False).ids if x else [] for x in texts]
+    assert tokens.encode_all(t, texts, None) == tokens.encode_all(t, texts, 7)
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts():
+    other = "/opt/tokenizers/word_bpe_49k.json"
+    assert tokens.splittable() and not tokens.splittable(other)
+    text = "Soap of  roses, isn't it? " * 20
+    assert tokens._encode_all(pd.Series([text, None]), other, 16) == [tokens.tokenizer(other).encode(text, add_special_tokens=False).ids, []]
+
+
 def test_ids_of_edge_texts(spark):
     long = "Soap of 皂  'twas it's 100g! " * 20000
     rows = [(1, None), (2, ""), (3, " "), (4, "<|endoftext|>"), (5, long), (5, long)]
@@ -81,3 +97,14 @@ def test_sources_that_give_nothing_do_not_empty_the_mix(spark):
     rep = {x.source: x for x in mixing.report(df, tg).collect()}
     assert {s: x.met for s, x in rep.items()} == {"a": True, "b": True, "void": False, "none": False, "never": False}
     assert {s: x.mixed for s, x in rep.items()} == {"a": 20, "b": 10, "void": 0, "none": 0, "never": 0}
+
+
+def test_budgets_above_supply_and_mixes_of_nothing_are_reported(spark):
+    df = spark.createDataFrame([(i, s, 10) for i, s in enumerate("aaaaaaaabb")] + [(99, "off", 7)], "doc_id long, source string, tokens long")
+    tg = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 1), ("c", 0.1, 2)], "source string, target_share double, max_repeats int")
+    budget = mixing.whole_budget(mixing.capacities(df, tg))
+    rep = {x.source: x for x in mixing.report(df, tg, budget).collect()}
+    assert budget == 100.0 and {s: (x.met, x.short, x.mixed) for s, x in rep.items()} == {"a": (True, 0, 50), "b": (False, 20, 20), "c": (False, 10, 0)}
+    assert abs(sum(x.actual_share for x in rep.values()) - 1) < 1e-5
+    nothing = mixing.report(df.filter("source = 'off'"), tg).collect()
+    assert [x.met for x in nothing] == [False] * 3 and mixing.mix(df.filter("source = 'off'"), tg).count() == 0
