@@ -7,7 +7,10 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class DomainPack:
-    """Vocabularies and patterns of one product domain; all patterns are case-insensitive Java regular expressions."""
+    """Vocabularies and patterns of one product domain; all patterns are case-insensitive Java regular expressions.
+
+    The defaults below are fixed values of the soap and body-care domain; another domain passes its own pack.
+    """
 
     noise: str = r"平行進口(?:貨品|貨)?|原裝行貨|行貨|現貨|即日寄出|24小時出貨|開倉價|限時優惠|人氣熱選|店長推薦|回購率No\.?1|送禮首選|超值之選|新舊包裝隨機|包裝隨機|新年份|好評|(?:EXP|到期日|最佳使用期)\s*[:：]?\s*[\d/.年月\-]+|Parallel Import|Hot Sale|New!"
     gift: str = r"[（(\[【]?\s*(?:加?送|附|贈)\s*(?:起泡袋|皂網|皂碟|皂盒|試用裝|\d+\s*(?:g|ml|克)\s*(?:旅行裝|體驗裝|試用裝))[^)）\]】\s]*\s*[)）\]】]?"

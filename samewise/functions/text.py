@@ -12,8 +12,15 @@ from pyspark.sql.types import StringType
 
 from samewise.config import DEFAULT_PACK, DomainPack
 
-# Signs that NFKC leaves apart, and ornaments that mean nothing.
-_SIGNS = str.maketrans({"﹒": "·", "，": ",", "；": ";", "：": ":", "（": "(", "）": ")", "【": "[", "】": "]", "｜": "|", "～": "~", "＋": "+", "／": "/", "＊": "*", "★": " ", "☆": " ", "♥": " ", "❤": " ", "✿": " "})
+_SIGN = re.compile(r"[^\x00-\x7f\w\s]")
+
+
+def plain_sign(c: str) -> str:
+    """A sign that NFKC leaves apart as its plain counterpart, told by its Unicode category: brackets are square, dashes short, symbols blanks."""
+    kind = unicodedata.category(c)
+    return {"Ps": "[", "Pe": "]", "Pd": "-", "So": " "}.get(kind, c)
+
+
 FOLD_DROPS = r"[^\p{L}\p{N}_%]+"
 
 
@@ -27,7 +34,8 @@ def let(value: Column, body) -> Column:
 
 
 def nfkc_text(text: str | None) -> str:
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").translate(_SIGNS)).strip()
+    folded = unicodedata.normalize("NFKC", text or "")
+    return " ".join((folded if folded.isascii() else _SIGN.sub(lambda m: plain_sign(m[0]), folded)).split())
 
 
 @F.pandas_udf(StringType())
@@ -130,16 +138,25 @@ def packfree(c: Column | str, pack: DomainPack = DEFAULT_PACK) -> Column:
     return squeeze(F.regexp_replace(no_units, f"(?i)(?:{PACK_WORDS})", " "))
 
 
+def known_words(pack: DomainPack = DEFAULT_PACK) -> str:
+    """Pattern of the words of a title that are no variant: kinds and generic words."""
+    return f"(?i)(?:{form_pattern(pack)}|{pack.generic})"
+
+
 def residual(c: Column | str, brand: Column | str, pack: DomainPack = DEFAULT_PACK) -> Column:
-    """What is left of a title without the brand's words, sizes, pack counts, kinds and generic words: the variant."""
-    pieces = F.filter(F.split(F.lower(F.coalesce(col(brand), F.lit(""))), r"[\s\-_/]+"), lambda p: F.length(p) >= 2)
-    text = F.aggregate(pieces, F.lower(packfree(c, pack)), lambda t, p: F.replace(t, p, F.lit(" ")))
-    return squeeze(F.regexp_replace(F.regexp_replace(text, f"(?i)(?:{form_pattern(pack)})", " "), f"(?i)(?:{pack.generic})", " "))
+    """The variant: what a title says beyond brand, size, pack count, kind and generic words.
+
+    One pattern made of the row's own brand words (of two and more characters, the longest first), then one of the known words.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(col(brand), F.lit(""))), r"[^\p{L}\p{N}&.']+"), lambda w: F.length(w) > 1)
+    ordered = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w")))), lambda x: F.concat(F.lit("\\Q"), x["w"], F.lit("\\E")))
+    own = F.when(F.size(words) > 0, F.concat_ws("|", ordered)).otherwise(F.lit("(?!)"))
+    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(packfree(c, pack)), own, F.lit(" ")), known_words(pack), " "))
 
 
 def tokens(c: Column | str, brand: Column | str, lo: int = 2, hi: int = 4, pack: DomainPack = DEFAULT_PACK) -> Column:
     """Of the residual: Latin words of three and more letters and all lo- to hi-grams of runs of ideographs, sorted and distinct."""
-    bad = f"(?i)(?:{form_pattern(pack)}|{pack.generic})"
+    bad = known_words(pack)
 
     def cut_up(r: Column) -> Column:
         runs = F.regexp_extract_all(r, F.lit(r"([\x{4e00}-\x{9fff}]+)"), F.lit(1))
@@ -160,33 +177,35 @@ def labelled_text(*parts: tuple[str, Column | str]) -> Column:
     return F.concat_ws("\n", *[F.when(F.length(F.trim(col(c))) > 0, F.concat(F.lit(f"{label}: "), F.trim(col(c)))) for label, c in parts])
 
 
-# -- naming helpers, plain Python: they run per group inside applyInPandas
-
+# -- naming helpers, plain Python: they run per group inside pandas functions
 
-def overlap(a: str, b: str) -> int:
-    """Length of the longest proper suffix of a that begins b, at least 2, else 0."""
-    return next((k for k in range(min(len(a), len(b)) - 1, 1, -1) if a.endswith(b[:k])), 0)
 
+def intervals(terms, text: str) -> list[tuple[int, int]]:
+    """Stretches of a text that its terms cover, overlapping occurrences as one, in their order."""
+    spans = sorted((m.start(), m.start() + len(t)) for t in set(terms) if t for m in re.finditer(f"(?={re.escape(t)})", text))
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
-def maximal(terms) -> list[str]:
-    """Terms that no other contains, longest first."""
-    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    return [t for i, t in enumerate(ordered) if not any(t in u for u in ordered[:i])]
 
+def phrases(terms, texts) -> list[str]:
+    """What the terms, windows of phrases, cover in the attested texts: each different stretch that is part of no other, the longest first.
 
-def stitch(terms, attested: str | None = None) -> list[str]:
-    """Glue overlapping windows of one phrase to the phrase, where the attested text has it, and keep maximal terms."""
-    pool = set(terms)
-    while True:
-        pool_ordered = sorted(pool, key=lambda t: (-len(t), t))
-        glued = next(((a, b, a + b[k:]) for a in pool_ordered for b in pool_ordered if a != b and (k := overlap(a, b)) and (attested is None or a + b[k:] in attested)), None)
-        if glued is None:
-            return maximal(pool)
-        pool = (pool - set(glued[:2])) | {glued[2]}
+    Terms that no text has stand for themselves; without texts every term does.
+    """
+    terms = set(terms)
+    found = {text[a:b] for text in texts for a, b in intervals(terms, text)}
+    found |= {t for t in terms if not any(t in f for f in found)}
+    return [f for f in sorted(found, key=lambda f: (-len(f), f)) if not any(f != g and f in g for g in found)]
 
 
-def variant_label(terms, attested: str | None = None, prefer=(), limit: int = 3, exclude=()) -> str:
-    """Up to ``limit`` stitched terms for a name: preferred ones first, then longer ones; what is printed elsewhere is left out if others remain."""
-    kept = stitch(terms, attested)
-    kept = [t for t in kept if not any(len(x or "") >= 2 and t in x for x in exclude)] or kept
-    return "·".join([*[t for t in kept if t in prefer], *[t for t in kept if t not in prefer]][:limit])
+def variant_label(terms, texts=(), prefer=(), limit: int = 3, exclude=()) -> str:
+    """At most ``limit`` phrases for a name. Preferred ones come first, what the name prints elsewhere last and only where nothing else is there."""
+    printed = [x for x in exclude if x and len(x) > 1]
+    ranked = sorted(phrases(terms, texts), key=lambda f: (any(f in x for x in printed), f not in prefer))
+    new = [f for f in ranked if not any(f in x for x in printed)]
+    return "·".join((new or ranked)[:limit])

@@ -46,11 +46,17 @@ def test_nfkc_is_idempotent(text):
 
 
 def test_naming_helpers():
-    assert T.overlap("橄欖油乳", "油乳木果") == 2 and T.overlap("ab", "bc") == 0
-    assert T.stitch(["橄欖油乳", "欖油乳木", "油乳木果"]) == ["橄欖油乳木果"]
-    assert T.stitch(["橄欖油乳", "油乳木果"], "橄欖油乳 油乳木果") == ["橄欖油乳", "油乳木果"]
+    assert T.intervals(["abc", "bcd", "x"], "abcd-abc x") == [(0, 4), (5, 8), (9, 10)]
+    windows = ["橄欖油乳", "欖油乳木", "油乳木果"]
+    assert T.phrases(windows, ["天然橄欖油乳木果皂"]) == ["橄欖油乳木果"]
+    assert T.phrases(["橄欖油乳", "油乳木果"], ["橄欖油乳 油乳木果"]) == ["橄欖油乳", "油乳木果"]  # a glued form that no text has
+    assert T.phrases(["橄欖", "橄欖油"], []) == ["橄欖油"] and T.phrases(["玫瑰"], ["皂"]) == ["玫瑰"]
     assert T.variant_label(["玫瑰", "薰衣草", "法國"], prefer={"玫瑰"}, limit=1) == "玫瑰"
-    assert T.variant_label(["玫瑰", "法國"], exclude=["法國"]) == "玫瑰" and T.variant_label([]) == ""
+    assert T.variant_label(["玫瑰", "法國"], exclude=["法國"]) == "玫瑰" and T.variant_label(["法國"], exclude=["法國"]) == "法國" and T.variant_label([]) == ""
+
+
+def test_plain_signs():
+    assert T.nfkc_text("【新】★皂「限」—Ａ！") == "[新] 皂[限]-A!" and T.nfkc_text(None) == ""
 
 
 def test_codes(spark):
