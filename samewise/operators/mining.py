@@ -70,18 +70,23 @@ def signatures(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return terms.drop("terms").join(hits, "sku_id", "left").withColumn("signature", F.coalesce("signature", F.array().cast("array<string>")))
 
 
-def alternative_pairs(terms: DataFrame, vocab: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """(t1, t2, support): groups (of min_alternative_group rows) in which both terms stand twice or more and never together. No closure.
+def alternative_pairs(terms: DataFrame, vocab: DataFrame, t: Thresholds = DEFAULTS, least: int = 1) -> DataFrame:
+    """(t1, t2, support): groups (of min_alternative_group rows) in which both terms stand twice or more and never together, in at least ``least`` groups. No closure.
 
-    Inside a group the terms that occur min_brand_count times meet; pairs seen together in a row are taken out by an anti-join.
+    Inside a group the terms that occur min_brand_count times meet; pairs seen together in a row are taken out by an anti-join. Terms frequent in fewer
+    than ``least`` groups cannot reach it and are left out before they meet; pairs are spread over group and first term, so that no group is one task.
     """
     big = terms.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") >= t.min_alternative_group).select("grp")
     rows = terms.join(big, "grp", "left_semi").select("grp", "sku_id", F.explode(F.array_distinct("terms")).alias("term")).join(vocab.select("term"), "term")
     frequent = rows.groupBy("grp", "term").agg(F.count("*").alias("df")).filter(F.col("df") >= t.min_brand_count).select("grp", "term")
+    if least > 1:
+        able = frequent.groupBy("term").agg(F.count("*").alias("groups")).filter(F.col("groups") >= least).select("term")
+        frequent = frequent.join(able, "term", "left_semi")
     pairs = frequent.select("grp", F.col("term").alias("t1")).join(frequent.select("grp", F.col("term").alias("t2")), "grp").filter("t1 < t2")
     kept = rows.join(frequent, ["grp", "term"], "left_semi")
     together = kept.select("grp", "sku_id", F.col("term").alias("t1")).join(kept.select("grp", "sku_id", F.col("term").alias("t2")), ["grp", "sku_id"]).filter("t1 < t2").select("grp", "t1", "t2").distinct()
-    return pairs.join(together, ["grp", "t1", "t2"], "left_anti").groupBy("t1", "t2").agg(F.count("*").alias("support"))
+    found = pairs.join(together, ["grp", "t1", "t2"], "left_anti").groupBy("t1", "t2").agg(F.count("*").alias("support"))
+    return found.filter(F.col("support") >= least)
 
 
 def minimal_pairs(sigs: DataFrame) -> DataFrame:
@@ -148,6 +153,12 @@ def variant_conflicts(pairs: DataFrame, sigs: DataFrame, veto: DataFrame) -> Dat
     return x.filter(~F.exists("common", lambda c: F.contains(F.col("x"), c) & F.contains(F.col("y"), c))).select("sku_a", "sku_b").distinct()
 
 
+def variant_asymmetry(sa: Column, sb: Column, known: Column) -> Column:
+    """Known terms that only the richer side has, over all its terms: 0 for equal signatures, 1 where one side says nothing of what the other knows."""
+    more, less = F.when(F.size(sa) >= F.size(sb), sa).otherwise(sb), F.when(F.size(sa) >= F.size(sb), sb).otherwise(sa)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(F.array_except(more, less), known)), F.size(more)), F.lit(0.0)).cast("double")
+
+
 def variant_compatible(sa: Column, sb: Column, ra: Column, rb: Column, conflict: Column, known: Column, tau: float = 0.34, tau_rest: float = 0.60) -> Column:
     """The older rule, kept for comparison: no conflict, no one-sided known term, and enough overlap of signatures, or of residual terms where neither has one."""
     j = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))

@@ -783,6 +783,40 @@ def q_hamming_bands(spark, d):
     return IM.near_duplicates(table(spark, d, "embeddings").select("vec_id", packed.alias("h")), "vec_id", "h", 3)
 
 
+@query(O.select("""select * from (select 'one kind' as "check", (select count(*) from (select group_id from g where form <> 'UNKNOWN' group by 1 having count(distinct form) > 1)) as faults union all select 'one base unit', (select count(*) from (select group_id from g where unit_uom is not null group by 1 having count(distinct unit_uom) > 1))
+    union all select 'one maker', (select count(*) from (select group_id from g where gs1 is not null group by 1 having count(distinct gs1) > 1))
+    union all select 'bars apart from liquids', (select count(*) from (select group_id from g group by 1 having bool_or(form in ('soap_bar', 'laundry_soap', 'shampoo_bar')) and bool_or(form in ('body_wash', 'hand_wash', 'body_lotion'))))
+    union all select 'one code, one group', (select count(*) from pos p where not """ + "{0}" + """) union all select 'counts do not divide', (select count(*) from invariant p where not """ + "{0}" + """) union all select 'other codes, other groups', (select count(*) from neg p where """ + "{0}" + """))""", O.terms(), O.mined(), _POS, _NEG, _INVARIANT, "gg as (select sku_id, group_id from sku_groups where group_id is not null), g as (select gg.group_id, a.* from gg join attr a on a.sku_id = gg.sku_id)").replace("{0}", "exists (select 1 from gg x join gg y on x.group_id = y.group_id where x.sku_id = p.sku_a and y.sku_id = p.sku_b)"))
+def q_regression_checks(spark, d):
+    attrs, _, _, sigs = _mined(spark, d)
+    pos = cut(L.positives(attrs))
+    groups = table(spark, d, "sku_groups").filter("group_id is not null").select("sku_id", "group_id")
+    return E.regression_checks(groups, attrs, pos, L.negatives(attrs, pos), L.pack_invariance(attrs, sigs))
+
+
+_RUN = ("n_groups", "n_singletons", "max_group", "recall", "merge_rate", "precision", "pack_invariance", "candidate_recall", "n_candidates")
+
+
+def _pipeline(spark, d, method: str) -> DataFrame:
+    """The whole run on all listings: its quality and the seconds of its stages."""
+    from samewise.plans.pipeline import Config, run
+
+    out = run(table(spark, d, "listings"), Config(method=method), table(spark, d, "sku_groups").select("sku_id", "group_id").distinct())
+    r = out["report"]
+    stages = F.create_map(*[F.lit(x) for k, v in r["timings"].items() for x in (k, float(v))])
+    return out["metrics"].select(F.lit(method).alias("method"), F.lit(float(r["threshold"])).alias("threshold"), *_RUN, stages.alias("seconds"))
+
+
+@query()
+def q_pipeline_lexical(spark, d):
+    return _pipeline(spark, d, "lexical")
+
+
+@query()
+def q_pipeline_local_tfidf(spark, d):
+    return _pipeline(spark, d, "local_tfidf")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

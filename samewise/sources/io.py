@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from dataclasses import dataclass
@@ -113,9 +114,24 @@ def content_hash(df: DataFrame) -> str:
     return f"{n}-{x or 0:x}-{s or 0:x}"
 
 
-def write_manifest(path: str, tables: dict[str, DataFrame]) -> dict:
-    """Row counts and fingerprints of tables as JSON."""
-    out = {name: {"rows": df.count(), "fingerprint": content_hash(df)} for name, df in tables.items()}
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sha256, bytes) of a file or of all files of a folder, hashed where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).filter(~F.col("file").rlike("^[_.]"))
+
+
+def dataset_sha256(spark: SparkSession, path: str) -> str:
+    """The sha256 of a file; of a folder that of its files' sorted digests."""
+    digests = sorted(r.sha256 for r in file_digests(spark, path).select("sha256").collect())
+    return digests[0] if len(digests) == 1 else hashlib.sha256("\n".join(digests).encode()).hexdigest()
+
+
+def write_manifest(path: str, tables: dict[str, DataFrame], files: dict[str, str] | None = None) -> dict:
+    """Row counts and row fingerprints of tables, and the sha256 of the files of inputs and outputs, as JSON."""
+    out: dict = {name: {"rows": df.count(), "fingerprint": content_hash(df)} for name, df in tables.items()}
+    spark = next(iter(tables.values())).sparkSession
+    for name, where in (files or {}).items():
+        out.setdefault(name, {})["sha256"] = dataset_sha256(spark, where)
     write_json(path, out)
     return out
 
@@ -132,6 +148,24 @@ def export_listings(listings: DataFrame, groups: DataFrame) -> DataFrame:
     return listings.join(groups.select("sku_id", "group_id", "group_name"), "sku_id", "left").select(*[c for c in LISTING_COLUMNS if c in listings.columns], "group_id", "group_name")
 
 
+def export_workbook(listings: DataFrame, groups: DataFrame, path: str) -> int:
+    """The delivered workbook: every listing in its order with group id and name. An incomplete mapping, or rows whose order cannot be told, are refused."""
+    from samewise.sources import xlsx
+
+    validate_mapping(groups, listings)
+    if "row_ord" not in listings.columns:
+        raise ValueError("listings have no row_ord, so their order cannot be kept")
+    rows = listings.join(groups.select("sku_id", "group_id", "group_name"), "sku_id", "left").select("row_ord", *[c for c in LISTING_COLUMNS if c in listings.columns], "group_id", "group_name")
+    return xlsx.write(rows, path, ["row_ord"])
+
+
+def check_order(before: DataFrame, after: DataFrame, order: str = "row_ord", key: str = "sku_id") -> None:
+    """Refuse a processed table whose rows stand in another order than the listings it was made of."""
+    moved = before.select(order, F.col(key).alias("was")).join(after.select(order, key), order, "full").filter(~F.col("was").eqNullSafe(F.col(key))).count()
+    if moved:
+        raise ValueError(f"{moved} rows stand in another place than before")
+
+
 def metrics_rows(rows: DataFrame, digits: int = 4) -> DataFrame:
     return rows.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
@@ -143,12 +177,12 @@ class Paths:
     root: str
     method: str
     use_form: bool = True
-    use_ann: bool = False
+    use_ann: bool = True
     use_records: bool = False
 
     @property
     def folder(self) -> str:
-        extra = "".join(x for x, on in (("-no-form", not self.use_form), ("-ann", self.use_ann), ("-records", self.use_records)) if on)
+        extra = "".join(x for x, on in (("-no-form", not self.use_form), ("-exact", not self.use_ann), ("-records", self.use_records)) if on)
         return f"{self.root}/{'experiments/' if extra else ''}{self.method}{extra}"
 
     def of(self, name: str) -> str:

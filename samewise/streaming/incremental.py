@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def title_keys(df: DataFrame) -> DataFrame:
 def match_batch(batch: DataFrame, index: DataFrame) -> DataFrame:
     """(sku_id, group_id) of a batch: the group of the index's equal title key, the least where several; else a group of its own by title key."""
     keys = title_keys(batch).dropDuplicates(["sku_id"])
-    known = index.groupBy("title_key").agg(F.min("group_id").alias("group_id"))
+    known = index.join(keys.select("title_key").distinct(), "title_key", "left_semi").groupBy("title_key").agg(F.min("group_id").alias("group_id"))
     return keys.join(known, "title_key", "left").select("sku_id", "title_key", F.coalesce("group_id", F.concat(F.lit("K_"), F.substring(F.sha2("title_key", 256), 1, 16))).alias("group_id"))
 
 
@@ -33,7 +34,9 @@ def start(stream: DataFrame, index_path: str, checkpoint: str, sink: Callable[[D
         spark = batch.sparkSession
         try:
             index = spark.read.parquet(index_path).filter(F.col("batch") != batch_id)
-        except Exception:
+        except AnalysisException as e:  # no index yet; any other failure is one
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             index = spark.createDataFrame([], "sku_id string, title_key string, group_id string, batch bigint")
         done = match_batch(batch.join(index.select("sku_id"), "sku_id", "left_anti"), index)
         done.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(index_path)

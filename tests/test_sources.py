@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from samewise.operators import images as IM
+from samewise.operators import vectors as V
 from samewise.operators.images import describe
 from samewise.plans.pipeline import Config
 from samewise.session import cut, forget
@@ -49,6 +51,57 @@ def test_tables(spark, tmp_path):
     assert [tuple(r) for r in io.read_label_pairs(spark, str(tmp_path / "l.csv")).collect()] == [("a", "b", 1, "e")]
 
 
+def test_digests_export_and_order(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in.csv").write_text("sku_id,sku_name_chi\na,x\nb,y\n")
+    want = hashlib.sha256((tmp_path / "in.csv").read_bytes()).hexdigest()
+    assert io.dataset_sha256(spark, str(tmp_path / "in.csv")) == want
+    g = spark.createDataFrame([("b", "g2", "B"), ("a", "g1", "A")], "sku_id string, group_id string, group_name string")
+    assert io.write_manifest(str(tmp_path / "m.json"), {"g": g}, {"input": str(tmp_path / "in.csv")})["input"]["sha256"] == want
+    listings = io.read_listings(spark, str(tmp_path / "in.csv"))
+    assert io.export_workbook(listings, g, str(tmp_path / "out.xlsx")) == 2
+    rows = list(xlsx.rows(str(tmp_path / "out.xlsx")))
+    assert rows[0][-2:] == ["group_id", "group_name"] and [r[-2] for r in rows[1:]] == ["g1", "g2"]
+    with pytest.raises(ValueError, match="missing"):
+        io.export_workbook(listings, g.limit(1), str(tmp_path / "out.xlsx"))
+    io.check_order(listings, listings)
+    with pytest.raises(ValueError, match="another place"):
+        io.check_order(listings, listings.withColumn("sku_id", F.lit("a")))
+
+
+def test_vector_cache_table(spark, tmp_path):
+    class Fake(V.Embedder):
+        name = "fake"
+
+        def embed(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    df, path = spark.createDataFrame([("a", "x"), ("b", "yy")], "k string, t string"), str(tmp_path / "cache")
+    with pytest.raises(ValueError, match="missing"):
+        V.embed_cached(df, "k", "t", Fake(), path, offline=True)
+    assert V.embed_cached(df.limit(1), "k", "t", Fake(), path).count() == 1 and V.embed_cached(df, "k", "t", Fake(), path).count() == 2
+    assert spark.read.parquet(path).count() == 2 and V.embed_cached(df, "k", "t", Fake(), path, offline=True).count() == 2
+
+
+def test_downloads(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x")
+    (tmp_path / "cache").mkdir()
+    urls = spark.createDataFrame([(f"file://{tmp_path}/a.bin",), (f"file://{tmp_path}/a.bin",), (f"file://{tmp_path}/none",), (None,), (" ",)], "url string")
+    count = lambda **k: {(r.state, r.message): r.n for r in IM.download_counts(IM.download(urls, str(tmp_path / "cache"), **k)).collect()}
+    assert count(allow=False) == {("failed", "download not allowed"): 2}
+    assert count() == {("fetched", None): 1, ("failed", "URLError"): 1} and count() == {("hit", None): 1, ("failed", "URLError"): 1}
+
+
+def test_a_broken_index_is_no_empty_index(spark, tmp_path):
+    (tmp_path / "index").mkdir()
+    (tmp_path / "index" / "part.parquet").write_text("no parquet")
+    spark.createDataFrame([("a", "皂")], "sku_id string, sku_name_chi string").withColumn("loaded_at", F.current_timestamp()).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("sku_id string, sku_name_chi string, loaded_at timestamp").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="(?i)parquet"):
+        incremental.start(stream, str(tmp_path / "index"), str(tmp_path / "checkpoint")).awaitTermination()
+
+
 def test_cut_keeps_rows_and_forgets(spark):
     t = cut(spark.range(3))
     assert t.count() == 3
@@ -88,6 +141,9 @@ def test_extraction_cache_and_retries(spark):
     texts = spark.createDataFrame([("x",), ("x",), ("bad",), (None,)], "text string")
     first = R.extract(texts, call, "m", tries=2, wait=0.0).collect()
     assert sorted(r.json or "" for r in first) == ["", '{"t": "x"}']
+    assert R.transient(OSError()) and not R.transient(ValueError())
+    for status, again in ((429, True), (503, True), (400, False)):
+        assert R.transient(type("E", (Exception,), {"status": status})()) is again
     cache = spark.createDataFrame([r for r in first if r.json], "text_hash string, json string")
     assert R.extract(texts, call, "m", cache, offline=True).count() == 1
 
