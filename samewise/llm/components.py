@@ -27,21 +27,27 @@ def _numbered(edges: DataFrame) -> DataFrame:
     return cut(keys.repartitionByRange("key").sortWithinPartitions("key").withColumn("id", F.monotonically_increasing_id()))
 
 
-def _rest(parents: DataFrame, max_jumps: int = 64) -> DataFrame:
-    """Pointer jumping: (id, parent) with every parent replaced by its root. A written round holds two jumps."""
+def _rest(parents: DataFrame, max_jumps: int = 64) -> tuple[DataFrame, list[DataFrame]]:
+    """Pointer jumping: (id, parent) with every parent replaced by its root, and the tables it reads.
+
+    A written round holds two jumps of the records whose pointer still moved; one that rests points to its root for good and is not written again.
+    """
+    resting, tables, moving = None, [parents], parents
     for _ in range(max_jumps):
-        two = parents
+        everything = moving if resting is None else resting.unionByName(moving)
+        up = everything.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
+        two = moving.withColumn("was", F.col("parent"))
         for _ in range(2):
-            up = two.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
-            two = two.join(up, "parent", "left").select("id", F.coalesce("above", "parent").alias("parent"))
-        before = parents.select("id", F.col("parent").alias("was"))
-        jumped = cut(two.join(before, "id").select("id", "parent", (F.col("parent") != F.col("was")).alias("moved")))
-        forget(parents)
-        still = jumped.filter("moved").isEmpty()
-        parents = jumped.drop("moved")
-        parents._samewise_table = jumped._samewise_table
-        if still:
-            return parents
+            two = two.join(up, "parent", "left").select("id", "was", F.coalesce("above", "parent").alias("parent"))
+        jumped = cut(two.select("id", "parent", (F.col("parent") != F.col("was")).alias("moved")))
+        if resting is None:
+            forget(parents)
+            tables.clear()
+        tables.append(jumped)
+        rest, moving = jumped.filter("not moved").drop("moved"), jumped.filter("moved").drop("moved")
+        resting = rest if resting is None else resting.unionByName(rest)
+        if moving.isEmpty():
+            return resting, tables
     raise RuntimeError("pointers still move")
 
 
@@ -61,11 +67,11 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
         if links.isEmpty():
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        roots = _rest(cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least")).select("id", F.least("id", "least").alias("parent"))))
+        roots, read = _rest(cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least")).select("id", F.least("id", "least").alias("parent"))))
         relabelled = cut(labels.join(roots.select(F.col("id").alias("label"), "parent"), "label", "left").select("id", F.coalesce("parent", "label").alias("label")))
         ru, rv = roots.select(F.col("id").alias("u"), F.col("parent").alias("ru")), roots.select(F.col("id").alias("v"), F.col("parent").alias("rv"))
         left_over = cut(links.join(ru, "u").join(rv, "v").filter("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
-        forget(links, labels, roots)
+        forget(links, labels, *read)
         links, labels = left_over, relabelled
     else:
         raise RuntimeError("labels still change")
