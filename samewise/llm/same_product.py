@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import ahocorasick
@@ -475,11 +476,6 @@ def with_made(rows: DataFrame) -> DataFrame:
 # -- 5. voting
 
 
-def _key(columns: list[str]) -> Column:
-    """A 64-bit name of a combination: which tokens it has, and which values."""
-    return F.xxhash64(F.lit("+".join(columns)), *columns)
-
-
 def _subsets(others: list[str]) -> list[list[str]]:
     """The k-combinations that may name a product: the line with any other tokens, with and without the brand, and where three more tokens are learned the brand with all of them."""
     core = [["line", *c] for k in range(1, len(others) + 1) for c in combinations(others, k)]
@@ -501,31 +497,32 @@ def products(rows: DataFrame, others: list[str]) -> DataFrame:
     stock = cut(rows.groupBy("tuple").agg(*[F.first(n).alias(n) for n in names], F.count("*").alias("votes"), F.avg("early").alias("early")))
     links = cut(rows.select("tuple", F.explode(F.array(F.concat(F.lit("code "), "code"), F.concat(F.lit("article "), "article"))).alias("link")).filter("link is not null").distinct())
 
+    masks = F.array(*[F.lit(sum(1 << names.index(n) for n in c)) for c in subsets])
+    holds = lambda n: F.col("mask").bitwiseAND(1 << names.index(n)) != 0
+
+    def combinations_of(t: DataFrame, proper: bool) -> DataFrame:
+        """t with a row for each combination that its tokens make: its 64-bit name c and its size k. Proper ones leave some token out."""
+        rows = t.withColumn("mask", F.explode(masks))
+        for n in names:
+            rows = rows.filter(~holds(n) | F.col(n).isNotNull())
+        if proper:
+            rows = rows.filter(reduce(lambda x, y: x | y, [~holds(n) & F.col(n).isNotNull() for n in names]))
+        return rows.select("tuple", "votes", "early", F.xxhash64("mask", *[F.when(holds(n), F.col(n)) for n in names]).alias("c"), F.bit_count("mask").alias("k"))
+
     def vote(anchors: DataFrame, asking: DataFrame, proper: bool) -> DataFrame:
         """(tuple, product): each asking tuple's best combination that holds one anchor only and that none of its own tokens speaks against."""
-        made = F.array(*[F.when(_has(c) & (F.lit(not proper) | ~_only(c)), F.struct(_key(c).alias("c"), F.lit(len(c)).alias("k"))) for c in subsets])
 
-        def with_links(t: DataFrame) -> DataFrame:
-            own = t.join(links, "tuple").select("tuple", "votes", "early", F.xxhash64("link").alias("c"), F.lit(len(names)).alias("k"))
-            return t.select("tuple", "votes", "early", F.explode(made).alias("x")).filter("x is not null").select("tuple", "votes", "early", "x.c", "x.k").unionByName(own)
+        def with_links(rows: DataFrame, t: DataFrame) -> DataFrame:
+            return rows.unionByName(t.join(links, "tuple").select("tuple", "votes", "early", F.xxhash64("link").alias("c"), F.lit(len(names)).alias("k")))
 
-        held = with_links(anchors).groupBy("c", "k").agg(F.min("tuple").alias("product"), F.max("tuple").alias("last"), F.sum("votes").alias("f"), F.avg("early").alias("p")).filter("product = last")
-        every = F.array(*[F.when(_has(c), F.struct(_key(c).alias("c"), F.lit(len(c)).alias("k"))) for c in subsets])
-        mine = asking.select("tuple", F.explode(every).alias("x")).filter("x is not null").select("tuple", "x.c").unionByName(asking.join(links, "tuple").select("tuple", F.xxhash64("link").alias("c")))
+        held = with_links(combinations_of(anchors, proper), anchors).groupBy("c", "k").agg(F.min("tuple").alias("product"), F.max("tuple").alias("last"), F.sum("votes").alias("f"), F.avg("early").alias("p")).filter("product = last")
+        mine = with_links(combinations_of(asking, False), asking).select("tuple", "c")
         found = mine.join(held, "c").filter("product <> tuple").select("tuple", "product", (F.col("k") * F.log1p("f") * (1.5 - F.col("p"))).alias("score"))
         found = found.join(asking.select("tuple", *[F.col(n).alias(f"own_{n}") for n in names]), "tuple").join(anchors.select(F.col("tuple").alias("product"), *names), "product")
         for n in names:
             found = found.filter(F.coalesce(F.col(f"own_{n}") == F.col(n), F.lit(True)))
         return found.groupBy("tuple").agg(F.max_by("product", F.struct("score", "product")).alias("product"))
 
-    def _only(columns: list[str]) -> Column:
-        """The tuple has no other token than these."""
-        out = F.lit(True)
-        for n in names:
-            if n not in columns:
-                out = out & F.col(n).isNull()
-        return out
-
     full = _has(names)
     whole = stock.filter(full)
     first = cut(vote(whole, stock.filter(~full), False))
