@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -67,6 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of earlier plans. Python's unreachable frames hold their twins in the JVM until both sides have collected; a query of very many small plans, or
+    many queries in one session, would else keep them all in the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove tables made by ``cut`` whose readers have all run."""
     for t in tables:
