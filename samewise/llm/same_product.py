@@ -36,7 +36,7 @@ from samewise.functions.unicode_forms import fold_letters
 from samewise.llm.brands import one_script, resolve
 from samewise.llm.normal_form import reading_form
 from samewise.operators.quantities import IMPERIAL, UNIT_WORDS, _READING, printed_error, readings, solve, unit_factors
-from samewise.session import cut, forget
+from samewise.session import cut, forget, release
 
 #: Log distance within which an amount in pounds or ounces stands for an exact one (half a pound for 250 g).
 SPREAD = 0.105
@@ -543,6 +543,8 @@ def products(rows: DataFrame, others: list[str]) -> DataFrame:
 
 def listing_tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> tuple[DataFrame, list[str]]:
     """(sku_id, brand, line, one column for each learned attribute, made, code, article, early) of every listing, and the attributes' names."""
+    spark = listings.sparkSession
+    release(spark)
     names = brand_names(brand_ref)
     titles = cut(title_pieces(listings, names))
     total = max(titles.count(), 1)
@@ -550,6 +552,7 @@ def listing_tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFram
     rows = cut(tokens(read_listings(listings, names, unit_ref), titles, units, affixes, phrases, total))
     forget(titles, units)
     attribute, frequent = attributes(rows, total)
+    release(spark)
     slots = max((s for s, _ in attribute.values()), default=-1) + 1
     words = F.array_join(F.array_sort("tokens.w"), " ").alias("words")  # where no attribute is learned, only titles of equal words are one product
     told = cut(rows.withColumn("d", _describe(attribute, frequent, slots)("tokens", "about")).select("sku_id", "entry", "shown", "uom", "qty", "error", "imperial", "code", "article", F.coalesce(F.length("about") > 0, F.lit(False)).alias("described"), words, "d.*"))
@@ -562,6 +565,7 @@ def listing_tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFram
         most = sizes.index(max(sizes))
         lined = lined.withColumn("line", F.col("vs")[most].cast("string")).withColumn("vs", F.concat(F.slice("vs", 1, most), F.slice("vs", most + 2, slots)))
         slots -= 1
+    release(spark)
     entered = lined.filter((F.size("shown") != 1) & F.col("entry").isNotNull()).select("entry").distinct()
     brands = resolve(entered, "entry", brand_ref).filter("brand_id <> 0").select(F.col("raw").alias("entry"), "brand_id")
     lined = lined.join(brands, "entry", "left")
@@ -575,7 +579,9 @@ def listing_tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFram
 def listing_products(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> DataFrame:
     """(sku_id, product) of all listings whose product can be told; see p5_found for pairs."""
     rows, others = listing_tokens(listings, brand_ref, unit_ref)
-    return products(cut(rows), others)
+    rows = cut(rows)
+    release(listings.sparkSession)
+    return products(rows, others)
 
 
 def p5_found(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> DataFrame:
