@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.normal_form import look_alikes, reading_form
@@ -49,7 +49,7 @@ def terms(df: DataFrame, key: str, text: str, of: Callable[[str], list[str]] = a
 
     Terms are taken from the text's one form. Repeated rows count once. Null, empty and termless texts have no rows.
     """
-    table = look_alikes(SparkSession.getActiveSession())
+    table = look_alikes(df.sparkSession)
 
     @F.pandas_udf("array<struct<term: string, y: int>>")
     def count(texts: pd.Series) -> pd.Series:

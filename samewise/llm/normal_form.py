@@ -84,7 +84,8 @@ _WHOLE: list[LookAlikes] = []
 
 
 def look_alikes(spark: SparkSession) -> LookAlikes:
-    """All letters written from left to right that have a look-alike, by the skeletons of the session's ICU; the plain table without ICU.
+    """All letters written from left to right that have a look-alike, by the skeletons of the session's ICU. Without ICU it is an error: the plain table
+    finds less, so it only stands in where a caller names it (``PLAIN``).
 
     Letters look alike if ICU gives them one single-character skeleton and they have one case. Letters that fall apart in NFD are left to it, and
     so are letters of one script in ASCII (``l`` and ``I``). At most as many entries as Unicode has letters; made once a process.
@@ -94,8 +95,8 @@ def look_alikes(spark: SparkSession) -> LookAlikes:
         try:
             checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
             skeletons = checker.getSkeleton("\n".join(letters)).split("\n")
-        except Exception:  # no ICU on the class path
-            return PLAIN
+        except Exception as e:
+            raise RuntimeError("the whole table of look-alikes needs a classic session with ICU (com.ibm.icu) on the driver's class path") from e
         of: dict[str, list[str]] = {}
         for c, s in zip(letters, skeletons, strict=True):
             if len(s) == 1:
@@ -124,8 +125,8 @@ def reading_form(text: str | None, table: LookAlikes = PLAIN) -> str | None:
 
 
 def reading_form_column(column: Column | str, table: LookAlikes | None = None) -> Column:
-    """The one form of a text column (an Arrow-batched function: Spark has no Unicode normalisation of its own), by the whole table of the active session."""
-    table = table or look_alikes(SparkSession.getActiveSession())
+    """The one form of a text column (an Arrow-batched function: Spark has no Unicode normalisation of its own), by the whole table of the active session unless another is given."""
+    table = table or look_alikes(SparkSession.active())
 
     @F.pandas_udf("string")
     def form(texts: pd.Series) -> pd.Series:

@@ -93,6 +93,23 @@ def test_whole_table_of_look_alikes(spark):
     assert all(f(f(x)) == f(x) for x in table.shape)
 
 
+def test_no_table_of_look_alikes_is_an_error(spark, ref, monkeypatch):
+    rows = listing(spark, [("a", "Rose", "Dove", None, None), ("b", "Rоse", "Ꭰove", None, None)])
+    monkeypatch.setattr(normal_form, "_WHOLE", [])
+    monkeypatch.setattr(type(spark.sparkContext), "_jvm", None)  # as without ICU: nothing can be asked for skeletons
+    monkeypatch.setattr(normal_form.SparkSession, "active", lambda: spark)
+    for make in (lambda: normal_form.look_alikes(spark), lambda: normal_form.reading_form_column("sku_name_chi"), lambda: distinct_terms.terms(rows, "sku_id", "sku_name_chi")):
+        with pytest.raises(RuntimeError, match="look-alikes needs"):
+            make()
+
+
+def test_whole_table_in_any_thread(spark, ref, monkeypatch):
+    rows = listing(spark, [("a", "Dove", "Pelladel", None, None), ("b", "Ꭰove", "Pelladel", None, None)])
+    monkeypatch.setattr(normal_form, "_WHOLE", [])
+    monkeypatch.setattr(normal_form.SparkSession, "getActiveSession", lambda: None)  # as in a thread that has none
+    assert [tuple(r) for r in normal_form.p2_found(rows, ref).collect()] == [("sku_name_chi", "a", "b")]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=30))
 def test_reading_form_is_idempotent(text):
