@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.normal_form import reading_form
-from samewise.session import cut
+from samewise.session import cut, release
 
 # What sellers put around a brand.
 DECORATIONS_HAN = "官方旗艦店 官方旗舰店 旗艦店 旗舰店 專門店 专门店 專賣店 专卖店 官方店 官方 正品 品牌 授權 授权 代理"
@@ -151,7 +151,9 @@ def correct_tokens(tokens: DataFrame, vocabulary: DataFrame, stock: DataFrame |
     if stock is not None:
         # ideographs: only a substitution, by one that no name of the list has
         replaced = (F.col("t_at") > 0) & (F.col("t_at") == F.col("w_at")) & (F.length("token") == F.length("word"))
-        han = near.filter((F.col("kind") == "h") & replaced).withColumn("c", F.substring("token", F.col("t_at"), F.lit(1))).join(stock, "c", "left_anti").drop("c")
+        wrong = F.when((F.col("kind") == "h") & replaced, F.substring("token", F.col("t_at"), F.lit(1)))
+        near = cut(near.groupBy("kind", "token", "word", wrong.alias("c")).agg(F.min("d").alias("d")))  # else both scripts' plans hold the whole join
+        han = near.filter("c is not null").join(stock, "c", "left_anti").select(near.columns)
         near = near.filter("kind <> 'h'").unionByName(han)
     near = near.groupBy("kind", "token", "word").agg(F.min("d").alias("d")).select("kind", "token", "word", (1 - 0.5 * F.col("d") / F.length("word")).alias("sim"))
     return same.unionByName(near)
@@ -208,6 +210,7 @@ def resolve(entries: DataFrame, raw: str, brand_ref: DataFrame, cover: float = C
 
     entry_spans = cut(e.withColumn("t", F.explode(cut_up("raw", "places"))).select("raw", "n", "t.*"))
     fixed = cut(correct_tokens(entry_spans, name_spans, stock))
+    release(entries.sparkSession)
     total = entry_spans.agg(F.countDistinct("raw")).first()[0] or 1
     common = entry_spans.filter("a = b").groupBy("kind", "token").agg(F.countDistinct("raw").alias("df"))
     known = fixed.join(idf.select("kind", "word", "w"), ["kind", "word"]).groupBy("kind", "token").agg(F.max("w").alias("w"))

@@ -217,7 +217,8 @@ def segmented(runs: DataFrame, affixes: dict[str, int], total: int) -> DataFrame
     spans = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substring("run", i, k))))
     parts = long.select("run", F.explode(F.array_distinct(spans)).alias("part"))
     counts = runs.filter((F.length("run") <= UNIT) & (F.col("n") >= SUPPORT)).select(F.col("run").alias("part"), "n")
-    met = parts.join(counts, "part").groupBy("run").agg(F.collect_list(F.struct("part", "n")).alias("parts"))
+    # Spark takes exploded rows for as small as those they come from, so without a hint it sends all parts of up to the broadcast limit's runs through the driver
+    met = parts.join(counts.hint("merge"), "part").groupBy("run").agg(F.collect_list(F.struct("part", "n")).alias("parts"))
     empty = F.array().cast("array<struct<part: string, n: bigint>>")
     return long.join(met, "run", "left").select("run", "n", cut_up("run", F.coalesce("parts", empty)).alias("units"))
 

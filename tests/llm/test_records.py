@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from samewise import session
 from samewise.llm import brands, components, distinct_terms, normal_form, same_product
 
 REF = [(1, "Pelladel", "潔柏蘭", "韓國"), (2, "Haus Vixyndra", "蔓睿佳", "法國"), (3, "Övrögård", None, "法國"), (4, "Kestumber & Daughters", "瑪米凱薇", "日本"), (5, "麗伊晶絲", "Wexléa", "意大利")]
@@ -256,3 +257,15 @@ def test_nothing_else_imports_this_folder():
 
     root = pathlib.Path(normal_form.__file__).parents[1]
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"samewise\.llm|from \.+llm", p.read_text())]
+
+
+def test_parts_of_runs_stay_off_the_driver(spark):
+    runs = session.cut(spark.createDataFrame([("手工皂紙", 5), ("手工", 9), ("皂紙", 7)], "run string, n bigint"))  # a table, of which Spark knows the size
+    units = same_product.segmented(runs, {}, 100)
+    assert {tuple(r.units) for r in units.collect()} == {("手工", "皂紙")}
+    assert "SortMergeJoin [part" in units._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_release_hands_native_memory_back(spark):
+    assert "Trim native heap" in session.trim(spark)
+    session.release(spark)
