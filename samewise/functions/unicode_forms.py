@@ -20,6 +20,8 @@ LATIN_LOOKALIKES = dict(zip(CYRILLIC_LIKE, CYRILLIC_AS_LATIN, strict=True)) | di
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
 _SPACES = re.compile(r"\s+")
 _LOOKALIKE_TABLE = str.maketrans(LATIN_LOOKALIKES)
+#: The blocks of all letters that are look-alikes or fall apart into one; a text without any is not rebuilt.
+_LOOKALIKE_BLOCKS = re.compile("[\u0370-\u052f\u1c80-\u1c8f\u1d00-\u1d7f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]")
 
 
 def fold_width(text: str | None) -> str:
@@ -32,7 +34,12 @@ def fold_width(text: str | None) -> str:
     return _SPACES.sub(" ", unicodedata.normalize("NFKC", text)).strip()
 
 
+def plain_letters(text: str) -> bool:
+    """Whether fold_letters leaves a text as it is whose spaces are folded and that has nothing invisible."""
+    return text.isascii() or (unicodedata.is_normalized("NFKC", text) and not _LOOKALIKE_BLOCKS.search(text))
+
+
 def fold_letters(text: str | None) -> str:
     """fold_width, then every look-alike letter as the Latin one: for parsing, where nothing is shown again."""
     folded = fold_width(text)
-    return folded if folded.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", folded).translate(_LOOKALIKE_TABLE))
+    return folded if folded.isascii() or not _LOOKALIKE_BLOCKS.search(folded) else unicodedata.normalize("NFC", unicodedata.normalize("NFD", folded).translate(_LOOKALIKE_TABLE))

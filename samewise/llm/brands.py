@@ -40,9 +40,10 @@ TRADITIONAL = "蘭麗絲瑪凱達嵐倫蘿諾維寶蓮樂爾歐詩貝韓國台
 MORE_TRADITIONAL = "髮製評裝隨倉價贈舊薑條臘"
 MORE_SIMPLIFIED = "发制评装随仓价赠旧姜条腊"
 
-_SIMPLIFY = str.maketrans(dict(zip(TRADITIONAL + MORE_TRADITIONAL, SIMPLIFIED + MORE_SIMPLIFIED, strict=True)))
+_SIMPLIFY = dict(zip(TRADITIONAL + MORE_TRADITIONAL, SIMPLIFIED + MORE_SIMPLIFIED, strict=True))
 _UNSIMPLIFY = str.maketrans(dict(zip(SIMPLIFIED, TRADITIONAL, strict=True)))
 _SIMPLE = re.compile(f"[{SIMPLIFIED}]")
+_TRADITIONAL = re.compile(f"[{TRADITIONAL + MORE_TRADITIONAL}]")
 
 
 def traditional(text: str) -> str:
@@ -52,7 +53,7 @@ def traditional(text: str) -> str:
 
 def one_script(text: str) -> str:
     """The text in simplified characters as far as the table goes: the direction in which no character has two counterparts."""
-    return text if text.isascii() else text.translate(_SIMPLIFY)
+    return text if text.isascii() else _TRADITIONAL.sub(lambda m: _SIMPLIFY[m[0]], text)
 
 
 def tokens_of(raw: str | None, places: frozenset[str] = frozenset()) -> list[tuple[str, str]]:

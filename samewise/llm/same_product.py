@@ -20,10 +20,10 @@ the error of its printed digits, or within ``SPREAD`` for pounds and ounces.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import ahocorasick
@@ -32,11 +32,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samewise.functions.unicode_forms import fold_letters
+from samewise.functions.unicode_forms import fold_letters, plain_letters
 from samewise.llm.brands import one_script, resolve
 from samewise.llm.normal_form import reading_form
 from samewise.operators.quantities import IMPERIAL, UNIT_WORDS, _READING, printed_error, readings, solve, unit_factors
-from samewise.session import cut, forget, release
+from samewise.session import cut as cut_lineage
+from samewise.session import forget, release
 
 #: Log distance within which an amount in pounds or ounces stands for an exact one (half a pound for 250 g).
 SPREAD = 0.105
@@ -44,8 +45,8 @@ SPREAD = 0.105
 FREQUENT, LEAST = 0.001, 20
 #: Listings from which a unit or phrase is trusted.
 SUPPORT = 3
-#: Ideographs of the longest unit.
-UNIT = 12
+#: Ideographs of the longest unit, and of the longest line that only a description has.
+UNIT, LINE = 12, 6
 #: Share of all different runs that an affix must end, and of a name's occurrences that must go with one line.
 AFFIX, ALIAS = 0.02, 0.8
 #: Deviation (in standard errors) and effect (log ratio) from which a title's token and a description's belong together.
@@ -64,6 +65,11 @@ _CODE = re.compile(rf"(?<![a-z0-9])(?=[a-z0-9-]*[a-z])(?=(?:[a-z0-9-]*\d){{3}})[
 _UNITS = frozenset(w for words in UNIT_WORDS.values() for w in words.split()) | {"fl"}
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A table read once or twice: columns of mostly different texts, for which dictionaries cost time and no block is much smaller."""
+    return cut_lineage(df, **{"parquet.enable.dictionary": "false", "compression": "lz4_raw"})
+
+
 def folded(text: str | None) -> str:
     return one_script((reading_form(text) or "").casefold())
 
@@ -82,9 +88,9 @@ def _letter(c: str) -> bool:
 
 def scan(a, text: str) -> list[tuple[int, int, int]]:
     """(start, end, value) of the automaton's words in a text, leftmost and longest first, Latin ones as whole words."""
-    if not len(a) or not text:
+    if not len(a) or not text or not (hits := [(e - n + 1, -n, v) for e, (v, n) in a.iter(text)]):
         return []
-    hits = sorted((e - n + 1, -n, v) for e, (v, n) in a.iter(text))
+    hits.sort()
     out, last = [], -1
     for s, n, v in hits:
         e = s - n
@@ -106,15 +112,21 @@ def blank(text: str, spans: list[tuple[int, int, int]]) -> str:
 # -- 1. tokens
 
 
-READ = "pieces array<string>, shown array<bigint>, uom string, qty double, error double, imperial boolean, code string, about string"
+# lists of tokens go between steps as strings joined by "/", which no piece holds: far cheaper to write, sort and hand to Python than arrays
+
+READ = "pieces string, words string, shown array<bigint>, uom string, qty double, error double, imperial boolean, code string, about string"
+
 
+def _content(text: str | None, factors) -> tuple | None:
+    if text and (got := solve(found := readings(text), factors)):
+        imperial = not any(r["code"] not in IMPERIAL and abs(math.log(v * factors[r["code"]][1] / got[1])) < 1e-6 for r in found if r["code"] in factors for v in r["numbers"])
+        return got[0], got[1], printed_error(found, factors, got[1]), imperial
+    return None
 
-def _content(texts: list[str], factors) -> tuple:
-    for text in texts:
-        if text and (got := solve(found := readings(fold_letters(text)), factors)):
-            imperial = not any(r["code"] not in IMPERIAL and abs(math.log(v * factors[r["code"]][1] / got[1])) < 1e-6 for r in found if r["code"] in factors for v in r["numbers"])
-            return got[0], got[1], printed_error(found, factors, got[1]), imperial
-    return None, None, None, None
+
+def _letters(text: str) -> str:
+    """fold_letters of a folded text."""
+    return text if plain_letters(text) else fold_letters(text)
 
 
 def _pieces(text: str, hits: list[tuple[int, int, int]]) -> list[str]:
@@ -122,18 +134,32 @@ def _pieces(text: str, hits: list[tuple[int, int, int]]) -> list[str]:
 
 
 def _reader(names: dict[str, int], factors):
-    """Titles to pieces, the listed brands they show, content, item code, and the description without names and amounts."""
+    """Titles to pieces, their different Latin words and pairs of neighbouring ones, the listed brands they show, content, item code, and the description without names and amounts. What is repeated in a batch is read once."""
 
     @F.pandas_udf(READ)
     def read(title: pd.Series, pack: pd.Series, description: pd.Series) -> pd.DataFrame:
         known, out = automaton(names), []
+
+        @functools.cache
+        def content(text: str | None) -> tuple | None:
+            return _content(fold_letters(text), factors)
+
+        @functools.cache
+        def told(text: str | None) -> tuple[str, str]:
+            d = folded(text)
+            return d, _READING.sub(" / ", blank(d, scan(known, d)))
+
         for t, p, d in zip(title, pack, description, strict=True):
-            t, d = folded(t), folded(d)
+            t, (d, about) = folded(t), told(d)
             hits = scan(known, t)
             code = m[0].replace("-", "") if (m := _CODE.search(_READING.sub(" ", t))) else None
-            pieces = _pieces(t, hits)
-            content = _content([t, p, d], factors)
-            out.append((pieces, sorted({v for *_, v in hits if v >= 0}), *content, code, _READING.sub(" / ", blank(d, scan(known, d)))))
+            got = _content(_letters(t), factors) or content(p) or content(d) or (None, None, None, None)
+            pieces, words = _pieces(t, hits), {}
+            for p in pieces:
+                if p[0] < "㐀":
+                    ws = p.split()
+                    words |= dict.fromkeys([*ws, *map(" ".join, zip(ws, ws[1:], strict=False))])
+            out.append(("/".join(pieces), "/".join(words), sorted({v for *_, v in hits if v >= 0}), *got, code, about))
         return pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")])
 
     return read
@@ -149,24 +175,23 @@ def brand_names(brand_ref: DataFrame) -> dict[str, int]:
     return names
 
 
-def title_pieces(listings: DataFrame, names: dict[str, int]) -> DataFrame:
-    """(sku_id, pieces) of every listing, the narrow table from which the lexicon is learned; redelivered listings count once."""
-
-    @F.pandas_udf("array<string>")
-    def pieces(title: pd.Series) -> pd.Series:
-        known = automaton(names)
-        return title.map(lambda t: _pieces(t := folded(t), scan(known, t)))
-
-    return listings.filter("sku_id is not null").select("sku_id", pieces("sku_name_chi").alias("p")).groupBy("sku_id").agg(F.min("p").alias("pieces"))
+def each(joined: str, name: str) -> Column:
+    """A row for each part of a joined string; an empty one has the part ''."""
+    return F.explode(F.split(joined, "/")).alias(name)
 
 
 def read_listings(listings: DataFrame, names: dict[str, int], unit_ref: DataFrame) -> DataFrame:
-    """One row for each sku_id; listings without one take no part, redelivered ones count once. The only wide exchange: what is read goes by sku_id."""
+    """One row for each sku_id, and a number of its own, id; listings without sku_id take no part, redelivered ones count once. The widest exchange; what follows goes by id."""
     read = _reader(names, unit_factors(unit_ref))
     rows = listings.filter("sku_id is not null").select("sku_id", F.col("brand_name_chi").alias("entry"), read("sku_name_chi", "pack_size_chi", "description_chi").alias("t"))
-    rows = rows.groupBy("sku_id").agg(F.min(F.struct("t", "entry")).alias("x")).select("sku_id", "x.entry", "x.t.*")
+    rows = rows.groupBy("sku_id").agg(F.min(F.struct("t", "entry")).alias("x")).select(F.monotonically_increasing_id().alias("id"), "sku_id", "x.entry", "x.t.*")
     article = F.regexp_extract("sku_id", r"_S_([0-9]{13})(?![0-9])", 1)
-    return rows.withColumn("article", F.when(article != "", article))
+    return cut(rows.withColumn("article", F.when(article != "", article)))
+
+
+def each_run(rows: DataFrame) -> DataFrame:
+    """(id, run): the different runs of ideographs of each title."""
+    return rows.select("id", F.explode(F.array_distinct(F.split("pieces", "/"))).alias("run")).filter(F.col("run") >= "㐀")
 
 
 def segment(run: str, counts: dict[str, int], affixes: dict[str, int], total: int) -> list[str]:
@@ -225,15 +250,14 @@ def segmented(runs: DataFrame, affixes: dict[str, int], total: int) -> DataFrame
 
 def lexicon(rows: DataFrame, total: int) -> tuple[DataFrame, dict[str, int], frozenset[str]]:
     """(runs with units, affixes, phrases). Affixes and phrases are bounded: a run has three endings, a title so many pairs of words."""
-    pieces = rows.select("sku_id", F.explode(F.array_distinct("pieces")).alias("piece"))
-    runs = pieces.filter(F.col("piece").rlike(f"^[{_HAN}]")).groupBy(F.col("piece").alias("run")).agg(F.count("*").alias("n"))
+    runs = each_run(rows).groupBy("run").agg(F.count("*").alias("n"))
     runs = cut(runs)
     kinds = runs.count()
     ends = runs.filter(F.length("run") >= 3).select("run", F.explode(F.array(*[F.when(F.length("run") >= k + 2, F.struct(F.right("run", F.lit(k)).alias("end"), F.expr(f"left(run, length(run) - {k})").alias("stem"))) for k in (1, 2, 3, 4)])).alias("x")).select("x.end", "x.stem")
     stems = ends.filter("end is not null").join(runs.select(F.col("run").alias("stem")), "stem")
     found = stems.groupBy("end").agg(F.count("*").alias("n")).filter(F.col("n") >= max(LEAST, AFFIX * kinds)).collect()
     affixes = {r.end: r.n for r in found}
-    words = rows.select(F.explode(F.array_distinct(F.flatten(F.transform("pieces", _words_and_pairs)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = rows.select(each("words", "w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
     words = cut(words.filter(F.col("n") >= SUPPORT))
     pairs = words.filter(F.contains("w", F.lit(" ")) & (F.col("n") >= max(5, FREQUENT * total / 4))).select("w", "n", F.element_at(F.split("w", " "), 1).alias("a"), F.element_at(F.split("w", " "), 2).alias("b"))
     single = words.filter(~F.contains("w", F.lit(" ")))
@@ -245,32 +269,23 @@ def lexicon(rows: DataFrame, total: int) -> tuple[DataFrame, dict[str, int], fro
     return units, affixes, phrases
 
 
-def _words_and_pairs(piece: Column) -> Column:
-    words = F.filter(F.split(piece, " "), lambda w: w.rlike(f"^[{_LATIN}]"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.when(F.size(words) > 1, F.concat_ws(" ", F.element_at(words, i), F.try_element_at(words, i + 1))))
-    return F.filter(F.concat(words, pairs), lambda w: w.isNotNull())
+def tokens(rows: DataFrame, units: DataFrame, affixes: dict[str, int], phrases: frozenset[str], total: int) -> DataFrame:
+    """(id, ws, ats, about): the distinct tokens of each title, their positions among the pieces, with + where an affix followed, and the description.
 
-
-TOKENS = "tokens array<struct<w: string, at: int, marked: boolean>>"
-
-
-def tokens(rows: DataFrame, titles: DataFrame, units: DataFrame, affixes: dict[str, int], phrases: frozenset[str], total: int) -> DataFrame:
-    """rows with the distinct tokens of each title: position among the pieces, and whether an affix followed.
-
-    Units of frequent runs, a bounded number, go to the tasks as they are; only rare long runs meet their units in a join, so no key is hot.
+    Units of frequent runs, a bounded number, go to the tasks as they are; only rare long runs of several units meet them in a join, so no key is hot.
     """
     often = FREQUENT * total
     common = {r.run: r.units for r in units.filter(F.col("n") >= often).select("run", "units").collect()}
-    long = F.filter(F.array_distinct("pieces"), lambda p: (F.length(p) >= 4) & p.rlike(f"^[{_HAN}]"))
-    met = titles.select("sku_id", F.explode(long).alias("run")).join(units.filter(F.col("n") < often).select("run", "units"), "run").groupBy("sku_id").agg(F.collect_list(F.struct("run", "units")).alias("found"))
+    rare = units.filter((F.col("n") < often) & (F.size("units") > 1)).select("run", F.concat("run", F.lit("="), F.array_join("units", "/")).alias("parts"))
+    met = each_run(rows).filter(F.length("run") >= 4).join(rare, "run").groupBy("id").agg(F.array_join(F.collect_list("parts"), ";").alias("found"))
 
-    @F.pandas_udf("array<struct<w: string, at: int, marked: boolean>>")
-    def cut_up(pieces: pd.Series, found: pd.Series) -> pd.Series:
+    @F.pandas_udf("ws string, ats string")
+    def cut_up(pieces: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
         for ps, own in zip(pieces, found, strict=True):
-            units_of = {x["run"]: list(x["units"]) for x in own} if own is not None else {}
+            units_of = {r: x.split("/") for r, x in (y.split("=") for y in own.split(";"))} if own else {}
             got: dict[str, list] = {}
-            for at, p in enumerate(ps):
+            for at, p in enumerate(ps.split("/") if ps else ()):
                 if p[0] >= "㐀":
                     ws = units_of.get(p) or common.get(p) or [p]
                 else:
@@ -284,10 +299,10 @@ def tokens(rows: DataFrame, titles: DataFrame, units: DataFrame, affixes: dict[s
                     if len(w) > 1 and w not in affixes and w not in _UNITS:
                         x = got.setdefault(w, [at, False])
                         x[1] = x[1] or (k + 1 < len(ws) and ws[k + 1] in affixes)
-            out.append([{"w": w, "at": at, "marked": marked} for w, (at, marked) in got.items()])
-        return pd.Series(out)
+            out.append(("/".join(got), "/".join(f"{at}+" if marked else str(at) for at, marked in got.values())))
+        return pd.DataFrame(out, columns=["ws", "ats"])
 
-    return rows.join(met, "sku_id", "left").withColumn("tokens", cut_up("pieces", "found")).drop("pieces", "found")
+    return rows.select("id", "pieces", "about").join(met, "id", "left").select("id", cut_up("pieces", "found").alias("t"), "about").select("id", "t.*", "about")
 
 
 # -- 2. attributes
@@ -302,7 +317,7 @@ def _met(frequent: dict[str, int]):
         for b in batches:
             keys = {"d": [], "t": []}
             for ws, about in zip(b["ws"], b["about"], strict=True):
-                own = [frequent[w] for w in ws if w in frequent]
+                own = [frequent[w] for w in ws.split("/") if w in frequent]
                 keys["t"] += [x * size + y for x in own for y in own]
                 if about:
                     told = list({v for *_, v in scan(known, about)}) + [size - 1]
@@ -345,12 +360,12 @@ def attributes(rows: DataFrame, total: int) -> tuple[dict[str, tuple[int, int]],
 
     A frequent token that descriptions follow but that belongs to no attribute is left to the names. A corpus too small for LEAST has no attributes.
     """
-    counts = rows.select(F.explode("tokens.w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(LEAST, FREQUENT * total))
+    counts = rows.select(each("ws", "w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(LEAST, FREQUENT * total))
     frequent = {r.w: (k, r.n) for k, r in enumerate(counts.orderBy(F.desc("n"), "w").collect())}
     words = list(frequent)
     if not words:
         return {}, frozenset()
-    met = rows.select(F.col("tokens.w").alias("ws"), "about").mapInPandas(_met({w: k for w, (k, _) in frequent.items()}), "kind string, a int, b int, n bigint")
+    met = rows.select("ws", "about").mapInPandas(_met({w: k for w, (k, _) in frequent.items()}), "kind string, a int, b int, n bigint")
     met = cut(met.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
     told = met.filter("kind = 'd'")
     beside = {(r.a, r.b): r.n for r in told.filter("a < 0 or b < 0").collect()}
@@ -385,37 +400,42 @@ def attributes(rows: DataFrame, total: int) -> tuple[dict[str, tuple[int, int]],
 
 
 def _describe(attribute: dict[str, tuple[int, int]], frequent: frozenset[str], slots: int):
-    """(values, stated, names, windows): classes by attribute from title, else description; which the title states; rare tokens with position, mark and
-    whether the description repeats them; and, where it repeats none, stretches of the description that may be a line."""
+    """(values, stated, names, runs): classes by attribute from title, else description; how early the title states one; rare tokens with position, mark and
+    whether the description repeats them; and, where it repeats none, the description's runs, of the longer ones the ends, any of which may be a line."""
 
-    @F.pandas_udf("struct<vs: array<int>, early: double, names: array<struct<w: string, at: int, marked: boolean, told: boolean>>, windows: array<string>>")
-    def run(tokens: pd.Series, about: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("vs array<int>, early double, names array<struct<w: string, at: int, marked: boolean, told: boolean>>, runs string")
+    def run(tokens: pd.Series, ats: pd.Series, about: pd.Series) -> pd.DataFrame:
         known = automaton({w: k for k, w in enumerate(attribute)})
         where = list(attribute.values())
         fill = automaton({w: 0 for w in frequent})
         out = []
-        for ws, d in zip(tokens, about, strict=True):
+
+        @functools.cache
+        def stated(d: str) -> list[set]:
+            told: list[set] = [set() for _ in range(slots)]
+            for *_, v in scan(known, d):
+                told[where[v][0]].add(where[v][1])
+            return told
+
+        @functools.cache
+        def runs(d: str) -> str:
+            found = (r for r in _RUN.findall(blank(d, scan(fill, d))) if len(r) > 1)
+            return "/".join(dict.fromkeys(r if len(r) <= 2 * LINE else r[:LINE] + r[-LINE:] for r in found))
+
+        for ws, places, d in zip(tokens, ats, about, strict=True):
             title: list[set] = [set() for _ in range(slots)]
             first, names = [], []
-            for x in ws:
-                if x["w"] in attribute:
-                    s, k = attribute[x["w"]]
+            for w, at in zip(ws.split("/"), places.split("/"), strict=True) if ws else ():
+                if w in attribute:
+                    s, k = attribute[w]
                     title[s].add(k)
-                    first.append(x["at"])
-                elif x["w"] not in frequent:
-                    names.append({"w": x["w"], "at": x["at"], "marked": bool(x["marked"]), "told": bool(d) and x["w"] in d})
-            told: list[set] = [set() for _ in range(slots)]
-            if d and not all(len(t) == 1 for t in title):
-                for *_, v in scan(known, d):
-                    told[where[v][0]].add(where[v][1])
+                    first.append(int(at.rstrip("+")))
+                elif w not in frequent:
+                    names.append({"w": w, "at": int(at.rstrip("+")), "marked": at[-1] == "+", "told": bool(d) and w in d})
+            told = stated(d) if d and not all(len(t) == 1 for t in title) else [set()] * slots
             values = [next(iter(t)) if len(t) == 1 else next(iter(t & o or o)) if len(t & o or o) == 1 else None for t, o in zip(title, told, strict=True)]
-            windows: list[str] = []
-            if d and not any(x["told"] or x["marked"] for x in names):
-                for run in _RUN.findall(blank(d, scan(fill, d))):
-                    for n in range(2, min(len(run), 6) + 1):
-                        windows += [run[:n], run[-n:]]
-            out.append((values, min(first, default=9) / 10.0, names, list(dict.fromkeys(windows))))
-        return pd.DataFrame(out, columns=["vs", "early", "names", "windows"])
+            out.append((values, min(first, default=9) / 10.0, names, runs(d) if d and not any(x["told"] or x["marked"] for x in names) else ""))
+        return pd.DataFrame(out, columns=["vs", "early", "names", "runs"])
 
     return run
 
@@ -423,32 +443,38 @@ def _describe(attribute: dict[str, tuple[int, int]], frequent: frozenset[str], s
 # -- 3. names
 
 
-def with_lines(rows: DataFrame) -> DataFrame:
-    """rows (sku_id, names, windows, described, ...) with line and family."""
-    said = rows.select("sku_id", "described", F.explode("names").alias("x")).select("sku_id", "described", "x.*")
-    stats = cut(said.groupBy("w").agg(F.count("*").alias("n"), F.count_if("told").alias("told_n"), F.count_if("marked").alias("marked_n"), F.count_if("described").alias("described_n")))
-    known = stats.filter((F.col("told_n") + F.col("marked_n") >= 1) & (F.col("told_n") + F.col("marked_n") >= 0.05 * F.col("described_n"))).select("w", "n", (F.col("marked_n") > 0).alias("line_for_sure"))
-    own = cut(said.join(known, "w").select("sku_id", "w", "n", "line_for_sure", "at", "told", "marked"))
+def lines_of(rows: DataFrame, total: int) -> DataFrame:
+    """(id, line, family) of the rows (id, names, runs, described) that have any. Only ids and words meet here, no other column."""
+    said = rows.select("id", "described", F.explode("names").alias("x")).select("id", "described", "x.*")
+    stats = said.groupBy("w").agg(F.count("*").alias("n"), F.count_if("told").alias("told_n"), F.count_if("marked").alias("marked_n"), F.count_if("described").alias("described_n"))
+    # last, a repeated token about which descriptions tell nothing, where it is not one they had many chances to repeat, may be a line
+    stats = stats.withColumn("known", (F.col("told_n") + F.col("marked_n") >= 1) & (F.col("told_n") + F.col("marked_n") >= 0.05 * F.col("described_n"))).withColumn("open", F.expr(f"n >= 2 and told_n + marked_n = 0 and described_n < {UNTOLD}"))
+    stats = cut(stats.filter("known or n >= 2").select("w", "n", "known", "open", (F.col("marked_n") > 0).alias("line_for_sure")))
+    own = cut(said.join(stats, "w").select("id", "w", "n", "known", "open", "line_for_sure", "at", "told", "marked"))
     # a token without affix that stands with each of two and more rarer names again and again is a family
-    other = own.select("sku_id", F.col("w").alias("v"), F.col("n").alias("vn"))
-    families = own.filter("not line_for_sure").join(other, "sku_id").filter("w <> v and vn < n").groupBy("w", "v").agg(F.count("*").alias("times")).filter("times >= 2").groupBy("w").agg(F.count("*").alias("lines")).filter("lines >= 2").select("w", F.lit(True).alias("family"))
+    other = own.filter("known").select("id", F.col("w").alias("v"), F.col("n").alias("vn"))
+    families = own.filter("known and not line_for_sure").join(other, "id").filter("w <> v and vn < n").groupBy("w", "v").agg(F.count("*").alias("times")).filter("times >= 2").groupBy("w").agg(F.count("*").alias("lines")).filter("lines >= 2").select("w", F.lit(True).alias("family"))
     families = cut(families)
-    choice = F.struct(F.when(F.col("told"), 0).otherwise(1), F.when(F.col("marked"), 0).otherwise(1), "n", "at", "w")
-    shown = own.join(families, "w", "left").groupBy("sku_id").agg(F.min_by(F.when(F.col("family").isNull(), F.col("w")), F.when(F.col("family").isNull(), choice)).alias("line"), F.min_by(F.when(F.col("family"), F.col("w")), F.when(F.col("family"), F.struct("at", "w"))).alias("family"))
-    # lines that only the description has
-    lines = known.join(families, "w", "left_anti").select("w", "n")
-    heard = rows.select("sku_id", F.explode("windows").alias("w")).join(lines, "w").groupBy("sku_id").agg(F.max_by("w", F.struct(F.length("w"), "n", "w")).alias("heard"))
-    rows = rows.drop("windows").join(shown, "sku_id", "left").join(heard, "sku_id", "left")
-    rows = cut(rows.withColumn("line", F.coalesce("line", "heard")).drop("heard"))
+    # lines that only the description has: the ends of its runs, looked up once for each different run
+    lines = stats.filter("known").join(families, "w", "left_anti").select("w", "n")
+    runs = rows.select("id", each("runs", "run")).filter("run <> ''")
+    sizes = F.sequence(F.lit(2), F.least(F.length("run"), F.lit(LINE)))
+    ends = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.array(F.left("run", k), F.right("run", k)))))).alias("w"))
+    line_of = cut(ends.join(lines, "w").groupBy("run").agg(F.max(F.struct(F.length("w").alias("size"), "n", "w")).alias("heard")))
+    # most runs are advertising that a thousandth of all listings repeat, so few different ones: those without a line are let go before anything is exchanged
+    often = runs.groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") >= max(LEAST, FREQUENT * total)).join(line_of, "run", "left_anti").select("run")
+    heard = runs.join(F.broadcast(often), "run", "left_anti").join(line_of, "run").select("id", "heard")
+    choice = F.struct(F.when(F.col("told"), 0).otherwise(1).alias("t"), F.when(F.col("marked"), 0).otherwise(1).alias("m"), "n", "at", "w")
+    shown = own.join(families, "w", "left").select("id", F.when(F.col("known") & F.col("family").isNull(), choice).alias("line"), F.when(F.col("family"), F.struct("at", "w")).alias("family"), F.struct("w", "n", "at", "open").alias("x"))
+    both = shown.unionByName(heard, allowMissingColumns=True).groupBy("id").agg(F.min("line").alias("line"), F.min("family").alias("family"), F.max("heard").alias("heard"), F.collect_list("x").alias("xs"))
+    both = cut(both.select("id", F.coalesce("line.w", "heard.w").alias("line"), F.col("family.w").alias("family"), "xs"))
     # names that go with one line, in titles that also show it or whose description does
-    pairs = rows.filter("line is not null").select("line", F.explode("names.w").alias("w")).filter("w <> line").groupBy("w", "line").agg(F.count("*").alias("n"))
-    stands = pairs.groupBy("w").agg(F.max_by("line", F.struct("n", "line")).alias("stands"), F.max("n").alias("most"), F.sum("n").alias("all")).filter(F.col("most") >= ALIAS * F.col("all")).join(families, "w", "left_anti").select("w", "stands", "most")
-    # last, a repeated token about which descriptions tell nothing, where it is not one they had many chances to repeat
-    open_names = stats.filter(f"n >= 2 and told_n + marked_n = 0 and described_n < {UNTOLD}").select("w", F.col("n").alias("open_n"))
-    told = stands.join(open_names, "w", "full")
-    again = rows.select("sku_id", "line", F.explode("names").alias("x")).select("sku_id", "line", "x.w", "x.at").filter("line is null or line = w").join(told, "w")
-    again = again.groupBy("sku_id").agg(F.max_by("stands", F.when(F.col("stands").isNotNull(), F.struct("most", "stands"))).alias("stands"), F.max_by("w", F.when(F.col("line").isNull() & F.col("open_n").isNotNull(), F.struct("open_n", -F.col("at"), "w"))).alias("guess"))
-    return rows.join(again, "sku_id", "left").withColumn("line", F.coalesce("stands", "line", "guess")).drop("stands", "guess", "names")
+    word = both.select("id", "line", F.explode("xs").alias("x")).select("id", "line", "x.*")
+    pairs = word.filter("line is not null and w <> line").groupBy("w", "line").agg(F.count("*").alias("n"))
+    stands = pairs.groupBy("w").agg(F.max(F.struct("n", "line")).alias("x"), F.sum("n").alias("all")).filter(F.col("x.n") >= ALIAS * F.col("all")).join(families, "w", "left_anti").select("w", F.struct(F.col("x.n").alias("most"), F.col("x.line").alias("stands")).alias("s"))
+    again = word.filter("line is null or line = w").join(stands, "w", "left").filter("s is not null or open")
+    again = again.groupBy("id").agg(F.max("s").alias("s"), F.max(F.when(F.col("line").isNull() & F.col("open"), F.struct("n", (-F.col("at")).alias("at"), "w"))).alias("guess"))
+    return both.select("id", "line", "family").join(again, "id", "left").select("id", F.coalesce("s.stands", "line", "guess.w").alias("line"), "family")
 
 
 # -- 4. amounts
@@ -457,8 +483,9 @@ def with_lines(rows: DataFrame) -> DataFrame:
 def with_made(rows: DataFrame) -> DataFrame:
     """rows with ``made``: the amount in whole base units, an inexact one being the nearest exact one of its line, else the commonest near one of the corpus."""
     rows = rows.withColumn("exact", F.col("error") <= 0.5).withColumn("whole", F.round("qty").cast("bigint")).withColumn("near", F.greatest(F.col("error") / F.col("qty"), F.when(F.col("imperial"), SPREAD).otherwise(0.0)))
-    counts = rows.filter("exact and whole > 0").groupBy("line", "uom", "whole").agg(F.count("*").alias("votes"))
-    loose = rows.filter("not exact and qty > 0").select("line", "uom", "qty", "near").distinct()
+    counts = cut(rows.filter("exact and whole > 0").groupBy("line", "uom", "whole").agg(F.count("*").alias("votes")))
+    inexact = F.coalesce(~F.col("exact") & (F.col("qty") > 0), F.lit(False))
+    loose = rows.filter(inexact).select("line", "uom", "qty", "near").distinct()
     gap = F.abs(F.log(F.col("qty") / F.col("amount")))
     key = ["line", "uom", "qty", "near"]
     of_line = loose.join(counts.filter("line is not null").select("line", "uom", F.col("whole").alias("amount"), "votes"), ["line", "uom"]).filter(gap <= F.col("near") + 1e-9)
@@ -470,8 +497,9 @@ def with_made(rows: DataFrame) -> DataFrame:
     common = amounts.join(everywhere, ["uom", "bin"]).filter(gap <= F.least(F.col("near"), F.lit(SPREAD)) + 1e-9).groupBy("uom", "qty", "near").agg(F.max_by("amount", F.struct("votes", -gap, "amount")).alias("anywhere"))
     made = cut(loose.join(of_line, key, "left").join(common, key[1:], "left").select(*key, F.coalesce("here", "anywhere").alias("made")).filter("made is not null"))
     line = F.coalesce("line", F.lit(""))  # amounts without a line meet too
-    out = rows.withColumn("line_key", line).join(made.withColumn("line_key", line).drop("line"), ["line_key", *key[1:]], "left")
-    return out.withColumn("made", F.when(F.col("exact"), F.col("whole")).otherwise(F.coalesce("made", "whole"))).drop("line_key", "near", "exact", "whole", "error", "imperial")
+    met = rows.filter(inexact).withColumn("line_key", line).join(made.withColumn("line_key", line).drop("line"), ["line_key", *key[1:]], "left").drop("line_key")
+    out = met.unionByName(rows.filter(~inexact).withColumn("made", F.lit(None).cast("bigint")))  # exact amounts, most of them, meet nothing
+    return out.withColumn("made", F.when(F.col("exact"), F.col("whole")).otherwise(F.coalesce("made", "whole"))).drop("near", "exact", "whole", "error", "imperial")
 
 
 # -- 5. voting
@@ -494,20 +522,20 @@ def products(rows: DataFrame, others: list[str]) -> DataFrame:
     """(sku_id, product) from sku_id, brand, line, ``others``, code, article and early."""
     names = ["brand", "line", *others]
     subsets = _subsets(others)
-    rows = rows.withColumn("tuple", F.xxhash64(*[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names], *[F.col(n).isNull() for n in names]))
-    stock = cut(rows.groupBy("tuple").agg(*[F.first(n).alias(n) for n in names], F.count("*").alias("votes"), F.avg("early").alias("early")))
+    rows = cut(rows.withColumn("tuple", F.xxhash64(*[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names], *[F.col(n).isNull() for n in names])))
+    stock = cut(rows.groupBy("tuple", *names).agg(F.count("*").alias("votes"), F.avg("early").alias("early")))
     links = cut(rows.select("tuple", F.explode(F.array(F.concat(F.lit("code "), "code"), F.concat(F.lit("article "), "article"))).alias("link")).filter("link is not null").distinct())
 
-    masks = F.array(*[F.lit(sum(1 << names.index(n) for n in c)) for c in subsets])
+    lined, unlined = [c for c in subsets if "line" in c], [c for c in subsets if "line" not in c]
     holds = lambda n: F.col("mask").bitwiseAND(1 << names.index(n)) != 0
 
-    def combinations_of(t: DataFrame, proper: bool) -> DataFrame:
+    def combinations_of(t: DataFrame, proper: bool, of: list[list[str]]) -> DataFrame:
         """t with a row for each combination that its tokens make: its 64-bit name c and its size k. Proper ones leave some token out."""
-        rows = t.withColumn("mask", F.explode(masks))
+        rows = t.withColumn("mask", F.explode(F.array(*[F.lit(sum(1 << names.index(n) for n in c)) for c in of]).cast("array<int>")))
         for n in names:
             rows = rows.filter(~holds(n) | F.col(n).isNotNull())
         if proper:
-            rows = rows.filter(reduce(lambda x, y: x | y, [~holds(n) & F.col(n).isNotNull() for n in names]))
+            rows = rows.filter(functools.reduce(lambda x, y: x | y, [~holds(n) & F.col(n).isNotNull() for n in names]))
         return rows.select("tuple", "votes", "early", F.xxhash64("mask", *[F.when(holds(n), F.col(n)) for n in names]).alias("c"), F.bit_count("mask").alias("k"))
 
     def vote(anchors: DataFrame, asking: DataFrame, proper: bool) -> DataFrame:
@@ -516,8 +544,11 @@ def products(rows: DataFrame, others: list[str]) -> DataFrame:
         def with_links(rows: DataFrame, t: DataFrame) -> DataFrame:
             return rows.unionByName(t.join(links, "tuple").select("tuple", "votes", "early", F.xxhash64("link").alias("c"), F.lit(len(names)).alias("k")))
 
-        held = with_links(combinations_of(anchors, proper), anchors).groupBy("c", "k").agg(F.min("tuple").alias("product"), F.max("tuple").alias("last"), F.sum("votes").alias("f"), F.avg("early").alias("p")).filter("product = last")
-        mine = with_links(combinations_of(asking, False), asking).select("tuple", "c")
+        # a combination with a line holds anchors of that line only, so anchors of lines that nothing asks for name none with it
+        asked = asking.filter("line is not null").select("line").distinct()
+        named = combinations_of(anchors.join(asked, "line", "left_semi"), proper, lined).unionByName(combinations_of(anchors, proper, unlined))
+        held = with_links(named, anchors).groupBy("c", "k").agg(F.min("tuple").alias("product"), F.max("tuple").alias("last"), F.sum("votes").alias("f"), F.avg("early").alias("p")).filter("product = last")
+        mine = with_links(combinations_of(asking, False, subsets), asking).select("tuple", "c")
         found = mine.join(held, "c").filter("product <> tuple").select("tuple", "product", (F.col("k") * F.log1p("f") * (1.5 - F.col("p"))).alias("score"))
         found = found.join(asking.select("tuple", *[F.col(n).alias(f"own_{n}") for n in names]), "tuple").join(anchors.select(F.col("tuple").alias("product"), *names), "product")
         for n in names:
@@ -527,7 +558,7 @@ def products(rows: DataFrame, others: list[str]) -> DataFrame:
     full = _has(names)
     whole = stock.filter(full)
     first = cut(vote(whole, stock.filter(~full), False))
-    left = stock.filter(~full).join(first, "tuple", "left_anti")
+    left = cut(stock.filter(~full).join(first, "tuple", "left_anti"))
     # no listing of theirs has all tokens: those with all but the brand are products, the rest votes among what is left
     unbranded = _has(["line", *others])
     second = cut(vote(left.filter(unbranded), left.filter(~unbranded), False))
@@ -547,19 +578,29 @@ def listing_tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFram
     spark = listings.sparkSession
     release(spark)
     names = brand_names(brand_ref)
-    titles = cut(title_pieces(listings, names))
-    total = max(titles.count(), 1)
-    units, affixes, phrases = lexicon(titles, total)
-    rows = cut(tokens(read_listings(listings, names, unit_ref), titles, units, affixes, phrases, total))
-    forget(titles, units)
+    listed = read_listings(listings, names, unit_ref)
+    total = max(listed.count(), 1)
+    units, affixes, phrases = lexicon(listed, total)
+    rows = cut(tokens(listed, units, affixes, phrases, total))
+    forget(units)
     attribute, frequent = attributes(rows, total)
     release(spark)
     slots = max((s for s, _ in attribute.values()), default=-1) + 1
-    words = F.array_join(F.array_sort("tokens.w"), " ").alias("words")  # where no attribute is learned, only titles of equal words are one product
-    told = cut(rows.withColumn("d", _describe(attribute, frequent, slots)("tokens", "about")).select("sku_id", "entry", "shown", "uom", "qty", "error", "imperial", "code", "article", F.coalesce(F.length("about") > 0, F.lit(False)).alias("described"), words, "d.*"))
+    # where no attribute is learned, only titles of equal words are one product
+    words = [] if attribute else [F.array_join(F.array_sort(F.split("ws", "/")), " ").alias("words")]
+    told = rows.withColumn("d", _describe(attribute, frequent, slots)("ws", "ats", "about"))
+    told = cut(told.select("id", F.coalesce(F.length("about") > 0, F.lit(False)).alias("described"), *words, "d.*"))
     forget(rows)
-    lined = cut(with_lines(told))
-    forget(told)
+    # what is looked up goes by id, and the listings' own columns meet it once
+    lines = lines_of(told, total)
+    release(spark)
+    unsure = listed.filter((F.size("shown") != 1) & F.col("entry").isNotNull()).select("id", "entry")
+    brands = resolve(unsure.select("entry").distinct(), "entry", brand_ref).filter("brand_id <> 0").select(F.col("raw").alias("entry"), "brand_id")
+    brands = unsure.join(brands, "entry").select("id", "brand_id")
+    brand = F.when(F.size("shown") == 1, F.col("shown")[0].cast("string")).otherwise(F.coalesce(F.when((F.size("shown") == 0) | F.array_contains("shown", F.col("brand_id")), F.col("brand_id").cast("string")), "family"))
+    lined = listed.drop("entry", "pieces", "words", "about").join(told.drop("names", "runs", "described"), "id").join(lines, "id", "left").join(brands, "id", "left")
+    lined = cut(lined.withColumn("brand", brand).drop("id", "shown", "family", "brand_id"))
+    forget(listed, told)
     if slots > 1 and lined.filter("line is not null").count() < REACH * total:
         # few lines, each in many listings, are learned as values of the attribute with the most values
         sizes = [len({k for t, k in attribute.values() if t == s}) for s in range(slots)]
@@ -567,11 +608,7 @@ def listing_tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFram
         lined = lined.withColumn("line", F.col("vs")[most].cast("string")).withColumn("vs", F.concat(F.slice("vs", 1, most), F.slice("vs", most + 2, slots)))
         slots -= 1
     release(spark)
-    entered = lined.filter((F.size("shown") != 1) & F.col("entry").isNotNull()).select("entry").distinct()
-    brands = resolve(entered, "entry", brand_ref).filter("brand_id <> 0").select(F.col("raw").alias("entry"), "brand_id")
-    lined = lined.join(brands, "entry", "left")
-    brand = F.when(F.size("shown") == 1, F.col("shown")[0].cast("string")).otherwise(F.coalesce(F.when((F.size("shown") == 0) | F.array_contains("shown", F.col("brand_id")), F.col("brand_id").cast("string")), "family"))
-    out = with_made(lined.withColumn("brand", brand))
+    out = with_made(lined)
     values = [f"attribute_{s}" for s in range(slots)]
     out = out.select("sku_id", "brand", F.col("line" if attribute else "words").alias("line"), *[F.col("vs")[s].alias(v) for s, v in enumerate(values)], F.when(F.col("made").isNotNull(), F.concat(F.col("made").cast("string"), F.lit(" "), F.col("uom"))).alias("made"), "code", "article", "early")
     return out, [*values, "made"]
@@ -579,10 +616,7 @@ def listing_tokens(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFram
 
 def listing_products(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> DataFrame:
     """(sku_id, product) of all listings whose product can be told; see p5_found for pairs."""
-    rows, others = listing_tokens(listings, brand_ref, unit_ref)
-    rows = cut(rows)
-    release(listings.sparkSession)
-    return products(rows, others)
+    return products(*listing_tokens(listings, brand_ref, unit_ref))
 
 
 def p5_found(listings: DataFrame, brand_ref: DataFrame, unit_ref: DataFrame) -> DataFrame:

@@ -245,6 +245,23 @@ def test_same_product_edges(spark, ref):
     assert same_product.p5_found(listing(spark, rows).limit(0), ref, units).count() == 0
 
 
+def test_same_product_reads_each_text_once(spark, ref, monkeypatch):
+    units = spark.createDataFrame(UNITS, "unit_code string, base_uom string, factor double")
+    rows = [("a_S_1", "Pelladel 暖舟弦 檀香 香皂 90g", "Pelladel", "90 g", "暖舟弦香皂"), ("b_S_1", "潔柏蘭 暖舟弦 檀香 香皂 90克", None, None, None)]
+    plans, cut = [], same_product.cut
+    monkeypatch.setattr(same_product, "cut", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or cut(df))
+    assert [tuple(r) for r in same_product.p5_found(listing(spark, rows), ref, units).collect()] == [("a_S_1", "b_S_1")]
+    # of all tables that are written one only is read from the listings' texts
+    assert sum("sku_name_chi" in p for p in plans) == 1 and sum("description_chi" in p for p in plans) == 1
+
+
+def test_content_of_unfolded_pack(spark, ref):
+    units = spark.createDataFrame(UNITS, "unit_code string, base_uom string, factor double")
+    rows = listing(spark, [("a", "香皂", None, "共  ９０　ｇ", None), ("b", "香皂", None, None, "每件\u200b90g"), ("c", "香皂 9０g", None, "1g", None)])
+    read = same_product.read_listings(rows, same_product.brand_names(ref), units)
+    assert {(r.sku_id, r.uom, r.qty) for r in read.collect()} == {(k, "g", 90.0) for k in "abc"}
+
+
 def test_segmentation():
     counts = {"手工": 90, "皂紙": 40, "手工皂": 80, "檸檬草": 20, "冷製": 50, "手工皂紙": 5, "肥皂": 70}
     cut_up = lambda run: same_product.segment(run, {w: n for w, n in counts.items() if w in run} | {"系列": 50}, {"系列": 50}, 1000)

@@ -1,9 +1,12 @@
+import re
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from samewise.functions.unicode_forms import fold_letters, fold_width
-from samewise.operators.quantities import contents, han_number, p6_contents, p6_found, printed_error, readings, solve
+from samewise.functions.unicode_forms import LATIN_LOOKALIKES, fold_letters, fold_width, plain_letters
+from samewise.operators.quantities import _HAN, _READING, _UNIT, contents, han_number, p6_contents, p6_found, printed_error, readings, solve
 
 UNITS = [("mg", "g", 0.001), ("g", "g", 1.0), ("kg", "g", 1000.0), ("oz", "g", 28.3495), ("lb", "g", 453.592), ("ml", "ml", 1.0), ("cl", "ml", 10.0), ("l", "ml", 1000.0), ("floz", "ml", 29.5735), ("pc", "pc", 1.0)]
 FACTORS = {u: (b, f) for u, b, f in UNITS}
@@ -88,3 +91,20 @@ def test_found_and_edge_cases(spark):
     out = contents(listings, ["sku_name_chi"], ref)
     assert out.columns == ["sku_id", "sku_name_chi", "pack_size_chi", "content"]
     assert p6_found(listings.limit(0), groups.limit(0), ref).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("0159,./⁄ 半三十百gGmlkox克片ａ９½", max_size=24))
+def test_amounts_are_found_as_by_the_plain_pattern(text):
+    number = rf"(?:\d+ )?\d{{1,2}}[/⁄]\d{{1,2}}(?!\d)|\d+(?:[.,]\d+)*|半|[{_HAN}]+"
+    plain = re.compile(rf"(?<![a-z0-9.,])({number}) ?({_UNIT})(?:\.(?!\d))?(?![a-wyz]|x[a-z])(?:/(?=\d))?", re.I)
+    assert [(m.span(), m.groups()) for m in _READING.finditer(text)] == [(m.span(), m.groups()) for m in plain.finditer(text)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=12) | st.text("АЁѐΆёοg９ ﬁΩ\u0301", max_size=12))
+def test_letters_are_folded_as_by_the_plain_way(text):
+    folded = fold_width(text)
+    want = unicodedata.normalize("NFC", unicodedata.normalize("NFD", folded).translate(str.maketrans(LATIN_LOOKALIKES)))
+    assert fold_letters(text) == (folded if folded.isascii() else want)
+    assert fold_letters(folded) == folded or not plain_letters(folded)
