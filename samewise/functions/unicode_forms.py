@@ -18,7 +18,6 @@ LATIN_LOOKALIKES = dict(zip(CYRILLIC_LIKE, CYRILLIC_AS_LATIN, strict=True)) | di
 
 #: What has no width: format characters, variation selectors and fillers.
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
-_SPACES = re.compile(r"\s+")
 _LOOKALIKE_TABLE = str.maketrans(LATIN_LOOKALIKES)
 #: The blocks of all letters that are look-alikes or fall apart into one; a text without any is not rebuilt.
 _LOOKALIKE_BLOCKS = re.compile("[\u0370-\u052f\u1c80-\u1c8f\u1d00-\u1d7f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]")
@@ -28,10 +27,9 @@ def fold_width(text: str | None) -> str:
     """NFKC without invisible characters, every run of white space one blank, trimmed; None gives ''."""
     if not text:
         return ""
-    if text.isascii():
-        return _SPACES.sub(" ", text).strip()
-    text = INVISIBLE.sub("", text)
-    return _SPACES.sub(" ", unicodedata.normalize("NFKC", text)).strip()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
+    return " ".join(text.split())
 
 
 def plain_letters(text: str) -> bool:

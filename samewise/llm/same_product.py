@@ -316,11 +316,13 @@ def _met(frequent: dict[str, int]):
         sums: dict[str, dict[int, int]] = {"d": {}, "t": {}}
         for b in batches:
             keys = {"d": [], "t": []}
+            told_of: dict[str, list[int]] = {}
             for ws, about in zip(b["ws"], b["about"], strict=True):
                 own = [frequent[w] for w in ws.split("/") if w in frequent]
                 keys["t"] += [x * size + y for x in own for y in own]
                 if about:
-                    told = list({v for *_, v in scan(known, about)}) + [size - 1]
+                    if (told := told_of.get(about)) is None:
+                        told = told_of[about] = [*{v for *_, v in scan(known, about)}, size - 1]
                     keys["d"] += [x * size + y for x in [*own, size - 1] for y in told]
             for kind, ks in keys.items():
                 for k, n in zip(*np.unique(np.array(ks, np.int64), return_counts=True), strict=True):

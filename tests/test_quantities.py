@@ -108,3 +108,9 @@ def test_letters_are_folded_as_by_the_plain_way(text):
     want = unicodedata.normalize("NFC", unicodedata.normalize("NFD", folded).translate(str.maketrans(LATIN_LOOKALIKES)))
     assert fold_letters(text) == (folded if folded.isascii() else want)
     assert fold_letters(folded) == folded or not plain_letters(folded)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(" \t\n\x1c\x85\u00a0\u2003\u3000a克", max_size=12))
+def test_spaces_are_folded_as_by_the_plain_way(text):
+    assert fold_width(text) == re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text)).strip()
